@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, chat, quality
+from quillgraph.llm import bpe, chat, quality, token_files
+from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token-files").root
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    read = token_files.read_tokens(spark, path).drop("ids")
+    return token_files.with_starts(read, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
