@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, chat, quality, token_files
+from quillgraph.llm import bpe, chat, packing, quality, token_files
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -44,3 +44,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(table(spark, sf_dir, "documents"), path)
     read = token_files.read_tokens(spark, path).drop("ids")
     return token_files.with_starts(read, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
