@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, chat, packing, quality, token_files
+from quillgraph.llm import bpe, chat, packing, pii, quality, token_files
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -49,3 +49,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
