@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, chat, packing, pii, quality, token_files
+from quillgraph.llm import bpe, chat, near_dup, packing, pii, quality, token_files
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -54,3 +54,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@_query
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
