@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, chat, near_dup, packing, pii, quality, token_files
+from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, token_files
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -59,3 +60,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the vectors have no structure to follow: 0.9 recall takes cells wide enough to see most of them
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, probing=ann.Probing(hashes=4))
