@@ -189,19 +189,25 @@ def _coded(encoded: DataFrame, lengths: np.ndarray) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = canonical_codes(lengths)
         for b in batches:
-            ids = [np.frombuffer(x, "<u2") for x in b["ids"]]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-            data, begin, inner = pack(np.concatenate(ids) if ids else np.empty(0, np.uint16), at, codes, lengths)
-            flat = data.tobytes()
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "n": b["n"],
-                    "bits": np.diff(begin) * 8,
-                    "checkpoints": [inner[at[i] : at[i + 1] : SEGMENT].astype("<u4").tobytes() for i in range(len(ids))],
-                    "payload": [flat[begin[i] : begin[i + 1]] for i in range(len(ids))],
-                }
-            )
+            sizes = b["n"].to_numpy()
+            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // IDS_PER_BLOCK, prepend=0)).tolist()
+            for x, z in zip([0, *cut], [*cut, len(b)], strict=True):  # so many ids at a time that their bits stay small
+                if x == z:
+                    continue
+                part = b.iloc[x:z]
+                ids = [np.frombuffer(v, "<u2") for v in part["ids"]]
+                at = np.concatenate([[0], np.cumsum([len(v) for v in ids])]).astype(np.int64)
+                data, begin, inner = pack(np.concatenate(ids), at, codes, lengths)
+                flat = data.tobytes()
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"],
+                        "n": part["n"],
+                        "bits": np.diff(begin) * 8,
+                        "checkpoints": [inner[at[i] : at[i + 1] : SEGMENT].astype("<u4").tobytes() for i in range(len(ids))],
+                        "payload": [flat[begin[i] : begin[i + 1]] for i in range(len(ids))],
+                    }
+                )
 
     return encoded.mapInPandas(work, _CODED)
 
