@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, token_files
+from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, token_files, toxicity, url_filter
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -66,3 +66,15 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the vectors have no structure to follow: 0.9 recall takes cells wide enough to see most of them
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, probing=ann.Probing(hashes=4))
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_restored")
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
