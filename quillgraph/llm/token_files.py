@@ -38,6 +38,8 @@ END_ID = 2
 DOCS_PER_BLOCK = 512
 #: Ids of a block at most, unless one document alone has more.
 IDS_PER_BLOCK = 1 << 20
+#: Ids of a shard, about, where a session's shuffle partitions would make larger ones.
+IDS_PER_SHARD = 1 << 26
 
 
 # ---- the code
@@ -180,11 +182,12 @@ def id_counts(encoded: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
     return counts
 
 
-_CODED = "doc_id long, n int, bits long, checkpoints binary, payload binary"
+_CODED = "shard int, doc_id long, n int, bits long, checkpoints binary, payload binary"
 
 
-def _coded(encoded: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Each document's bits and, for each of its segments, the bit offset in it."""
+def _coded(encoded: DataFrame, lengths: np.ndarray, bounds: np.ndarray) -> DataFrame:
+    """Each document's bits and, for each of its segments, the bit offset in it. Its shard is the
+    number of bounds up to its doc_id, so ascending shards hold ascending doc_ids."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = canonical_codes(lengths)
@@ -201,6 +204,7 @@ def _coded(encoded: DataFrame, lengths: np.ndarray) -> DataFrame:
                 flat = data.tobytes()
                 yield pd.DataFrame(
                     {
+                        "shard": np.searchsorted(bounds, part["doc_id"].fillna(np.iinfo(np.int64).min).astype("int64"), "right").astype(np.int32),
                         "doc_id": part["doc_id"],
                         "n": part["n"],
                         "bits": np.diff(begin) * 8,
@@ -251,17 +255,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     scratch = Scratch(spark, "tokens")
     encoded = scratch.write(encode_documents(docs, tokenizer, end_id), "encoded")
-    lengths = code_lengths(id_counts(encoded))
+    counts = id_counts(encoded)
+    lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.astype(np.uint8).tobytes()), MAX_BITS, SEGMENT)], "lengths binary, max_bits int, segment int").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // IDS_PER_SHARD)
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
     bounds = np.unique(np.array([x for x in cuts if x is not None], np.float64)).astype(np.int64)
-    # numbers of bounds at most the doc_id: ascending shards hold ascending doc_ids
-    shard = F.lit(0)
-    if len(bounds):
-        shard = F.aggregate(F.lit(bounds.tolist()), F.lit(0), lambda a, x: a + (x <= F.col("doc_id")).cast("int"))
-    coded = _coded(encoded, lengths).withColumn("shard", F.coalesce(shard, F.lit(0)))
-    sorted_ = coded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id")
+    sorted_ = _coded(encoded, lengths, bounds).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id")
     _blocks(sorted_).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/shards")
     scratch.drop("encoded")
 
