@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import columns as C
-from quillgraph.operators import diffusion, evaluate, graph, linking, profile, text
+from quillgraph.operators import diffusion, evaluate, graph, linking, profile, rendering, text
 from quillgraph.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,3 +484,70 @@ def result_equality(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority")
     rows = [("set", evaluate.equal_as_sets(o, o.distinct())), ("bag", evaluate.equal_as_bags(o, o.distinct())), ("permuted", evaluate.equal_under_permutation(o, o.select("o_orderpriority", "o_orderstatus")))]
     return spark.createDataFrame(rows, "kind string, equal boolean")
+
+
+# ---- rendering and message windows
+
+
+@query(r"""WITH k AS (SELECT p_partkey, regexp_replace(regexp_replace(lower('SELECT p_name, p_type FROM part WHERE p_size > ' || p_size || ' AND p_brand = ''' || p_brand || ''''), '''[^'']*''|\b[0-9]+(\.[0-9]+)?\b', '_', 'g'), '\b(p_name|p_brand|p_type|p_size|part)\b', '_', 'g') AS s FROM part) SELECT p_partkey, regexp_replace(s, '_( ?, ?_)+', '_', 'g') AS skeleton FROM k""")
+def sql_skeletons(spark: SparkSession, sf: str) -> DataFrame:
+    sql = F.concat(F.lit("SELECT p_name, p_type  FROM part WHERE p_size > "), F.col("p_size").cast("string"), F.lit(" AND p_brand = '"), "p_brand", F.lit("'"))
+    return table(spark, sf, "part").select("p_partkey", rendering.skeleton(sql, ["part", "p_name", "p_type", "p_size", "p_brand"]).alias("skeleton"))
+
+
+@query("""WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(p_name || ' ' || p_type, ' ') AS b FROM part), u AS (SELECT p_partkey, unnest(list_distinct(list_concat(a, b))) AS w, a, b FROM t)
+SELECT p_partkey, round(sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) / sum(greatest(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))), 6) AS score FROM u GROUP BY 1""")
+def skeleton_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.split("p_name", " "), F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    return table(spark, sf, "part").select("p_partkey", F.round(rendering.multiset_jaccard(a, b), 6).alias("score"))
+
+
+@query("SELECT n_regionkey, 'id,n_name,n_nationkey' || chr(13) || chr(10) || string_agg(r || ',' || n_name || ',' || n_nationkey, chr(13) || chr(10) ORDER BY r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) GROUP BY 1")
+def context_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return rendering.csv_context(table(spark, sf, "nation"), "n_regionkey", ["n_nationkey"], ["n_name", "n_nationkey"])
+
+
+@query("""SELECT n_nationkey, '"D"."D"."REGION" -> "D"."D"."NATION"."' || n_name || '"' AS path FROM nation""")
+def qualified_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select("n_nationkey", rendering.qualified_path(F.concat(F.lit("REGION -> NATION."), "n_name"), "D").alias("path"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS r FROM conversations) WHERE role = 'system' OR r <= 4")
+def memory_window(spark: SparkSession, sf: str) -> DataFrame:
+    return rendering.memory_window(table(spark, sf, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn", "role")
+
+
+@query("WITH e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) SELECT least(20, floor((n_chars - lo) * 20 / (hi - lo)) + 1)::INT AS bin, count(*) AS n FROM documents, e GROUP BY 1")
+def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return rendering.length_histogram(table(spark, sf, "documents"), "n_chars")
+
+
+@query("""WITH p AS (SELECT p_brand AS t, p_type AS c, count(*) AS cs FROM part GROUP BY 1, 2), s AS (SELECT *, sum(cs) OVER (PARTITION BY t) AS ts FROM p), b AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY ts DESC, t) AS r FROM (SELECT DISTINCT t, ts FROM s)) WHERE r <= 4)
+SELECT t AS "table", c AS "column" FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY cs DESC, c) AS r FROM s WHERE t IN (FROM b)) WHERE r <= 3""")
+def top_schema(spark: SparkSession, sf: str) -> DataFrame:
+    per = table(spark, sf, "part").groupBy(F.col("p_brand").alias("table"), F.col("p_type").alias("column")).agg(F.count("*").alias("column_score"))
+    return rendering.top_schema(per.withColumn("table_score", F.sum("column_score").over(Window.partitionBy("table"))), 4, 3)
+
+
+@query("SELECT c_custkey, 'select db7.customer from db7.customer join customers on x.customer' AS q FROM customer")
+def replaced_names(spark: SparkSession, sf: str) -> DataFrame:
+    sql = F.lit("select customer from customer join customers on x.customer")
+    return table(spark, sf, "customer").select("c_custkey", rendering.replace_names(sql, {"customer": "db7.customer"}).alias("q"))
+
+
+@query("WITH c AS (SELECT user_id, md5(props || '|' || event_type) AS args_hash, min(event_id) AS event_id FROM events GROUP BY 1, 2) SELECT e.event_id, c.event_id AS hit FROM events e JOIN c ON c.user_id = e.user_id AND c.args_hash = md5(props || '|' || event_type) AND c.event_id < e.event_id")
+def exact_cache_hits(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "user_id", F.md5(F.encode(F.concat_ws("|", "props", "event_type"), "utf-8")).alias("args_hash"))
+    stored = e.groupBy("user_id", "args_hash").agg(F.min("event_id").alias("hit"))
+    return e.join(stored, ["user_id", "args_hash"]).filter("hit < event_id").select("event_id", "hit")
+
+
+@query("SELECT event_id, (event_id % 3)::BIGINT AS model FROM events")
+def round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.pmod("event_id", F.lit(3)).cast("long").alias("model"))
+
+
+@query("""SELECT t AS "table", count(*) AS columns, count(*) FILTER (k) AS key_columns FROM (VALUES ('nation', true), ('nation', false), ('nation', true), ('region', true), ('region', false)) x(t, k) GROUP BY 1""")
+def schema_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(t, f.name) for t in ("nation", "region") for f in table(spark, sf, t).schema.fields]
+    return spark.createDataFrame(rows, "table string, column string").groupBy("table").agg(F.count("*").alias("columns"), F.count_if(F.col("column").endswith("key")).alias("key_columns"))

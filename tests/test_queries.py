@@ -6,7 +6,7 @@ import pytest
 from quillgraph import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark conversations".split()
 
 
 def plain(rows):
