@@ -8,12 +8,16 @@ the region's first document, around which a large group of copies joins at once.
 is ordered by further hashes first (its depth adapts to its size).
 
 Candidates are confirmed exactly, in rounds: the most often met candidate of each document first,
-then those that still join different components, then, in regions that hold a few components, the first
-document of each against all others there. Links inside a component that is already joined change
-nothing and aren't confirmed. Candidates stay linear in the documents of a region; a link between
-two components that hold many documents of one region each can be missed if no order puts its
-ends side by side. A pair of similarity s is in no common region
-with probability (1 - s^DEPTH)^TREES, 5e-6 at 0.75.
+then those that still join different components. Links inside a component that is already joined
+change nothing and aren't confirmed. Where a region still holds several components and neighbours
+didn't cover all its pairs, its documents are open: they are joined exactly by prefix filter.
+Two linked sets share one of the first n - ceil(0.75 n) + 1 shingles of each in any common order;
+the smaller one, as it must share 2 * 0.75 / 1.75 of its own, already in its first seventh or so.
+The order is rarest first by a table of hashed counts, so a shared passage or template brings few
+together. Every pair of open documents in different components that meets so and can
+still link by sizes and places is confirmed; hot shingles are cut in blocks, and none is left out.
+So a pair of similarity s is missed only if it is in no common region, with probability
+(1 - s^DEPTH)^TREES, 5e-6 at 0.75.
 
 Defined results: null texts and texts without words are linked with nothing (n_shingles 0);
 repeated rows keep their rows and share a component; a null doc_id takes no part and is its own
@@ -43,7 +47,10 @@ REGION = 512
 FANOUT = 64
 NEIGHBOURS = 3
 EDGES_PER_TASK = 50_000
-PARTS = 8
+#: Slots of hashed shingle counts; they order shingles only, so clashes cost time, not links.
+COUNTS = 1 << 20
+#: Documents of one shingle that a task meets at once; more are cut in blocks.
+BLOCK = 256
 PERCENT = 75
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -238,11 +245,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, forest: Forest | No
 
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     tested = docs.sparkSession.createDataFrame([], "a long, b long")
-    for k in range(3):
-        left = _crossing(pairs.join(tested, ["a", "b"], "left_anti"), labels) if k else pairs
-        if k == 2:
-            left = left.select("a", "b").union(_across(regions, labels, percent).join(tested, ["a", "b"], "left_anti")).distinct()
-        chosen = scratch.write(_best_each(left) if k < 2 else left, f"round-{k}")
+    for k in range(4):
+        if k == 3:
+            left = _across(regions, labels, texts, percent, scratch).join(tested, ["a", "b"], "left_anti")
+        else:
+            left = _crossing(pairs.join(tested, ["a", "b"], "left_anti"), labels) if k else pairs
+        chosen = scratch.write(_best_each(left) if k < 2 else left.select("a", "b"), f"round-{k}")
         links = scratch.write(confirm(chosen, texts, percent), f"links-{k}")
         if not links.isEmpty():  # edges of the components so far keep what was joined
             stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -255,15 +263,60 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, forest: Forest | No
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(regions: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """In regions of two to PARTS components where neighbours didn't cover all pairs: the first
-    document of each component with all documents of the others, so a document that is alone in
-    its component meets the whole region. At most PARTS pairs a document and tree."""
-    placed = regions.filter(F.col("size") > NEIGHBOURS + 1).select("tree", "first", "doc_id", "n").join(labels, F.col("doc_id") == F.col("node"), "left")
-    placed = placed.select("tree", "first", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    heads = placed.groupBy("tree", "first", "c").agg(F.min(F.struct("doc_id", "n")).alias("h"))
-    several = heads.groupBy("tree", "first").agg(F.count("*").alias("parts")).filter(F.col("parts").between(2, PARTS))
-    heads = heads.join(several, ["tree", "first"]).select("tree", "first", F.col("h.doc_id").alias("d"), F.col("h.n").alias("m"), F.col("c").alias("e"))
-    near = (F.col("c") != F.col("e")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    met = heads.join(placed.withColumnsRenamed({"tree": "t", "first": "f"}), (F.col("tree") == F.col("t")) & (F.col("first") == F.col("f")) & near)
-    return met.select(F.least("d", "doc_id").alias("a"), F.greatest("d", "doc_id").alias("b")).distinct()
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTS.bit_length() + 1)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How often shingles of each slot occur in texts."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            _words.bound()
+            for text in b["text"]:
+                np.add.at(total, _slots(shingles(text)), 1)
+        slot = np.nonzero(total)[0]
+        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+    out = np.zeros(COUNTS, np.int64)
+    got = texts.select("text").mapInPandas(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles, rarest first, one of which every set that links with this one has in its own prefix."""
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, counts[_slots(hashes)]))][: n - -(-percent * n // 100) + 1]
+
+
+def _across(regions: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) in different components, of documents in regions of several components where neighbours
+    didn't cover all pairs: all that can link by their prefixes, sizes and places."""
+    placed = regions.filter(F.col("size") > NEIGHBOURS + 1).select("tree", "first", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left")
+    placed = placed.select("tree", "first", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    several = placed.groupBy("tree", "first").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("tree", "first")
+    open_ = placed.join(several, ["tree", "first"], "left_semi").select("doc_id", "c").distinct()
+    opened = scratch.write(texts.join(open_, "doc_id"), "open")
+    counts = opened.sparkSession.sparkContext.broadcast(shingle_counts(opened))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            _words.bound()
+            for d, c, text in zip(b["doc_id"], b["c"], b["text"]):
+                s = shingles(text)
+                head = prefix(s, counts.value, percent)
+                yield pd.DataFrame({"shingle": head.view(np.int64), "d": d, "c": c, "n": len(s), "at": np.arange(len(head))})
+
+    heads = scratch.write(opened.mapInPandas(work, "shingle long, d long, c long, n long, at long"), "prefixes")
+    met = heads.groupBy("shingle").agg(F.count("*").alias("size"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
+    heads = heads.join(met.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "shingle")
+    short = F.col("at") <= F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    one = heads.filter(short).withColumn("block", F.pmod(F.xxhash64("d"), "blocks").cast("int")).select("shingle", "block", *[F.col(x).alias(f"{x}_a") for x in ("d", "c", "n", "at")])
+    other = heads.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(x).alias(f"{x}_b") for x in ("d", "c", "n", "at")])
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("d_a") < F.col("d_b")))
+    sizes = 100 * F.col("n_a") >= percent * F.col("n_b")
+    # a pair's first common shingle says how many more it can share
+    room = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    return one.join(other, ["shingle", "block"]).filter(smaller & (F.col("c_a") != F.col("c_b")) & sizes & room).select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()

@@ -251,6 +251,20 @@ def test_near_duplicates_equal_brute_force(spark):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), find(i), find(i) == i)
 
 
+def test_near_duplicates_in_a_region_of_many_components(spark):
+    rnd = random.Random(9)
+    new = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    template, bodies = new(200), [new(35) for _ in range(900)]
+    # four words of its body are all that joins each of the last 30 to one of the others
+    texts = [" ".join(template + b) for b in bodies] + [" ".join(template + b[:4] + new(31)) for b in bodies[::30]]
+    sets = [set(near_dup.shingles(t).tolist()) for t in texts]
+    similar = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = [*range(900), *range(0, 900, 30)]
+    assert all((similar(i, j) >= 0.75) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ---- op10
 
 
