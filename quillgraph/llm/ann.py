@@ -5,8 +5,9 @@ A query visits its own bucket and then buckets at perturbed hashes, in ascending
 summed squared distances to the crossed bucket edges, which estimates where neighbours are most
 likely. Candidates of all tables are merged and ranked by the exact inner product.
 
-Largest inner product is nearest distance after one more component: vectors are scaled by the
-largest norm M and get sqrt(1 - |v|^2/M^2), queries are normalised and get 0.
+Vectors and queries are hashed by direction, so norms of any spread share the same cells; the
+ranking is by the inner product itself. A query that meets fewer than k others is scored against
+all vectors.
 
 The bucket width follows from a bounded sample (SAMPLE vectors). The number of projections is a
 parameter or grows with the number of vectors. Buckets above BLOCK vectors are cut in
@@ -55,19 +56,16 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 class Hasher:
-    def __init__(self, probing: Probing, dim: int, norm: float, hashes: int, width: np.ndarray):
+    def __init__(self, probing: Probing, dim: int, hashes: int, width: np.ndarray):
         rng = np.random.default_rng(probing.seed)
-        self.p, self.norm, self.hashes, self.width = probing, norm, hashes, width
-        self.a = rng.standard_normal((probing.tables, hashes, dim + 1))
+        self.p, self.hashes, self.width = probing, hashes, width
+        self.a = rng.standard_normal((probing.tables, hashes, dim))
         self.b = rng.random((probing.tables, hashes))
         self.mult = rng.integers(1, 1 << 62, hashes, dtype=np.int64) * 2 + 1
 
     def points(self, v: np.ndarray) -> np.ndarray:
-        x = v / self.norm
-        return np.concatenate([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))[:, None]], 1)
-
-    def queries(self, v: np.ndarray) -> np.ndarray:
-        return np.concatenate([v / np.linalg.norm(v, axis=1)[:, None], np.zeros((len(v), 1))], 1)
+        x = v / np.abs(v).max(1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def places(self, x: np.ndarray, table: int) -> np.ndarray:
         return x @ self.a[table].T / self.width + self.b[table]
@@ -125,18 +123,17 @@ def _template(hashes: int, count: int) -> list[tuple[int, ...]]:
 
 
 def fit(vectors: DataFrame, probing: Probing) -> Hasher | None:
-    """From the number of vectors, their largest norm and a sample of at most SAMPLE of them by id hash."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, most = vectors.agg(F.count("*"), F.max(norm)).head()
+    """From the number of vectors and a sample of at most SAMPLE of them by id hash."""
+    n = vectors.count()
     if not n:
         return None
     sample = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
     dim = sample.shape[1]
     for hashes in [probing.hashes] if probing.hashes else range(2, 40):
-        h = Hasher(probing, dim, most, hashes, np.ones(1))
+        h = Hasher(probing, dim, hashes, np.ones(1))
         x = h.points(sample)
         width = probing.width * np.mean([(x @ h.a[t].T).std(0).mean() for t in range(probing.tables)])
-        h.width = np.array([width])
+        h.width = np.array([width if width > 0 else 1.0])  # 0 where all directions are one
         same = 0.0
         for t in range(probing.tables):
             _, counts = np.unique(h.buckets(np.floor(h.places(x, t))), return_counts=True)
@@ -170,7 +167,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, probing: Probing | None =
         for b in batches:
             if len(b):
                 v = np.array(b["v"].tolist())
-                x = hasher.queries(v)
+                x = hasher.points(v)
                 for t in range(probing.tables):
                     keys = hasher.probes(x, t)
                     row, col = np.nonzero(_first_of_row(keys))
@@ -209,6 +206,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, probing: Probing | None =
 
     found = placed.groupBy("table", "bucket", "block").cogroup(asked.groupBy("table", "bucket", "block")).applyInPandas(score, _BEST)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = scratch.write(found, "found")
+    enough = found.groupBy("query_id").count().filter(F.col("count") >= k)
+    short = scratch.write(queries.join(enough, "query_id", "left_anti"), "short")
+    if not short.isEmpty():
+        blocks = usables.count() // probing.block + 1
+        all_ = usables.select(F.lit(-1).alias("table"), F.lit(0).cast("long").alias("bucket"), "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+        rest = short.select(F.lit(-1).alias("table"), F.lit(0).cast("long").alias("bucket"), "query_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q")
+        rest = all_.groupBy("table", "bucket", "block").cogroup(rest.groupBy("table", "bucket", "block")).applyInPandas(score, _BEST)
+        found = found.join(short, "query_id", "left_anti").select("query_id", "vec_id", "score").union(rest)
     wide = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(wide)).filter(F.col("r") <= k + 8).select("query_id", "vec_id")
     exact = found.join(queries, "query_id").join(usables, "vec_id").select("query_id", "vec_id", _dot(F.col("q"), F.col("v")).alias("score"))

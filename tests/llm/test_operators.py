@@ -228,6 +228,24 @@ def test_search_recall_and_order(spark):
     assert hit >= 0.9 * 300
 
 
+@pytest.mark.parametrize("spread, probing, least", [(0.3, ann.Probing(hashes=4), 0.9), (2.0, ann.Probing(hashes=4), 0.9), (1.0, ann.Probing(hashes=12, tables=1, probes=1), 1.0)])
+def test_search_with_uneven_norms(spark, spread, probing, least):
+    """The last case meets too few vectors by its cells, so all are scored."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((1000, 64))
+    v *= (np.exp(spread * rng.standard_normal(1000)) / np.linalg.norm(v, axis=1))[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=20, probing=probing).collect()
+    hit = 0
+    for q in range(0, 1000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        mine = {r["vec_id"] for r in got if r["query_id"] == q}
+        assert len(mine) == 20
+        hit += len(mine & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= least * 1000
+
+
 # ---- op8
 
 
