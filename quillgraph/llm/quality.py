@@ -4,7 +4,7 @@ A document's lines are normalised and hashed. For each host (column source) and
 distinct documents holding it are counted; a line above the limit is boilerplate there and is
 removed, and a document whose text is mostly such lines is depleted and rejected. Copies of one
 document must not make its body look like boilerplate, so documents are told apart by content:
-for a line, a document is its smallest other line hash. Lines longer than a passage are left
+a document is the set of its normalised lines. Lines longer than a passage are left
 to deduplication.
 
 Defined results: null and empty texts have no words and fail the base rule; a null source is a
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
+NOT_BLANK = lambda x: x.rlike("[^\\x20\\x09-\\x0D]")
 
 
 @dataclass(frozen=True)
@@ -92,7 +93,7 @@ def text_measures(docs: DataFrame) -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"),
         )
 
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    lines = F.filter(F.split(text, "\n"), NOT_BLANK)
     return docs.withColumns(
         {
             "_m": let(words_of(text), measures),
@@ -120,13 +121,10 @@ def _candidate(rules: QualityRules):
 
 def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
     """(host, line): hashes of the lines that more documents of a host hold than the limit."""
-    lowest = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))), 1, 2)
-    both = F.transform(F.filter(_lines(F.col("text")), _candidate(rules)), lambda x: F.struct(_line_hash(x).alias("line"), F.xxhash64(x).alias("own")))
-    held = (
-        docs.select(F.col("source").alias("host"), lowest.alias("lowest"), F.explode(both).alias("x"))
-        .select("host", "x.line", F.when(F.get("lowest", F.lit(0)) == F.col("x.own"), F.get("lowest", F.lit(1))).otherwise(F.get("lowest", F.lit(0))).alias("document"))
-    )
-    # a null document is one with no other line; all of them together count once
+    lines = F.filter(_lines(F.col("text")), NOT_BLANK)
+    whole = F.xxhash64(F.sort_array(F.array_distinct(F.transform(lines, _line_hash))))
+    counted = F.array_distinct(F.transform(F.filter(lines, _candidate(rules)), _line_hash))
+    held = docs.select(F.col("source").alias("host"), whole.alias("document"), F.explode(counted).alias("line"))
     return held.distinct().groupBy("host", "line").count().filter(F.col("count") > rules.max_documents_per_host).select("host", "line")
 
 

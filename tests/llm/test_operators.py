@@ -206,6 +206,15 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert not got[8]["kept"] and all(got[i]["kept"] and got[i]["n_removed_lines"] == 0 for i in range(9, 39))
 
 
+def test_boilerplate_of_several_lines(spark):
+    """Documents that share all lines but one are as many as they are."""
+    rnd = random.Random(6)
+    shared = [f"shared menu or footer line number {j}" for j in range(20)]
+    texts = ["\n".join([*shared, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(12))]) for _ in range(60)] + ["\n".join(shared)] * 5
+    got = quality.quality(frame(spark, texts).withColumn("source", F.lit("s"))).collect()
+    assert all(r["n_removed_lines"] == 20 and not r["kept"] for r in got)
+
+
 # ---- op7
 
 
