@@ -1,11 +1,10 @@
 """Quality rules: repetition inside a document and line frequency across documents, in Catalyst only.
 
-A document's lines are normalised and hashed. For each host (column source) and line the
+A document's lines, of any length but not blank, are normalised and hashed. For each host (column source) and line the
 distinct documents holding it are counted; a line above the limit is boilerplate there and is
 removed, and a document whose text is mostly such lines is depleted and rejected. Copies of one
 document must not make its body look like boilerplate, so documents are told apart by content:
-a document is the set of its normalised lines. Lines longer than a passage are left
-to deduplication.
+a document is the set of its normalised lines.
 
 Defined results: null and empty texts have no words and fail the base rule; a null source is a
 host of its own; repeated rows are separate documents; extra columns are ignored.
@@ -29,8 +28,6 @@ class QualityRules:
     max_repeat_pct: int = 50
     #: A line in more distinct documents of a host than this is boilerplate.
     max_documents_per_host: int = 50
-    min_line_chars: int = 16
-    max_line_chars: int = 200
     #: A document that loses more than this share of its word characters is depleted.
     max_removed_share: float = 0.7
 
@@ -112,26 +109,19 @@ def _line_hash(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def _candidate(rules: QualityRules):
-    return lambda x: F.length(x).between(rules.min_line_chars, rules.max_line_chars)
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), NOT_BLANK)
 
 
 def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
     """(host, line): hashes of the lines that more documents of a host hold than the limit."""
-    lines = F.filter(_lines(F.col("text")), NOT_BLANK)
-    whole = F.xxhash64(F.sort_array(F.array_distinct(F.transform(lines, _line_hash))))
-    counted = F.array_distinct(F.transform(F.filter(lines, _candidate(rules)), _line_hash))
-    held = docs.select(F.col("source").alias("host"), whole.alias("document"), F.explode(counted).alias("line"))
+    hashed = docs.select(F.col("source").alias("host"), F.sort_array(F.array_distinct(F.transform(_lines(F.col("text")), _line_hash))).alias("lines"))
+    held = hashed.select("host", F.xxhash64("lines").alias("document"), F.explode("lines").alias("line"))
     return held.distinct().groupBy("host", "line").count().filter(F.col("count") > rules.max_documents_per_host).select("host", "line")
 
 
 def removed_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
     """(row, lines, removed_chars, n_removed): the frequent lines of each row that holds some. docs needs a column row."""
-    short = F.filter(_lines(F.col("text")), _candidate(rules))
-    measured = F.transform(short, lambda x: F.struct(_line_hash(x).alias("line"), F.length(F.regexp_replace(x, SPACES, "")).alias("chars")))
+    measured = F.transform(_lines(F.col("text")), lambda x: F.struct(_line_hash(x).alias("line"), F.length(F.regexp_replace(x, SPACES, "")).alias("chars")))
     held = docs.select("row", F.col("source").alias("host"), F.explode(measured).alias("x")).select("row", "host", "x.line", "x.chars")
     found = frequent_lines(docs, rules)
     joined = held.join(found, held["host"].eqNullSafe(found["host"]) & (held["line"] == found["line"]), "left_semi")
@@ -147,7 +137,7 @@ def quality(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
     found = removed_lines(docs.select(F.col("doc_id").alias("row"), "source", "text"), rules).withColumnsRenamed({"row": "_row", "lines": "_frequent"})
     measured = text_measures(docs)
     wide = measured.join(found, measured["doc_id"] == found["_row"], "left")
-    keep = lambda x: ~(_candidate(rules)(x) & F.array_contains(F.col("_frequent"), _line_hash(x)))
+    keep = lambda x: ~(NOT_BLANK(x) & F.array_contains(F.col("_frequent"), _line_hash(x)))
     clean = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep), "\n"))
     share = F.when(F.col("_frequent").isNull() | (F.col("word_chars") == 0), F.lit(0.0)).otherwise(F.col("removed_chars") / F.col("word_chars"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))

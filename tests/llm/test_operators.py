@@ -215,6 +215,14 @@ def test_boilerplate_of_several_lines(spark):
     assert all(r["n_removed_lines"] == 20 and not r["kept"] for r in got)
 
 
+def test_boilerplate_of_any_length(spark):
+    rnd = random.Random(7)
+    passage, own = " ".join(["all rights are reserved to the holders of this licence"] * 9), lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    texts = [f"Home\n\n{own()}\n{passage}" for _ in range(60)]
+    got = quality.quality(frame(spark, texts).withColumn("source", F.lit("s"))).collect()
+    assert all(r["n_removed_lines"] == 2 and r["clean_text"] == "\n" + texts[r["doc_id"]].split("\n")[2] for r in got)
+
+
 # ---- op7
 
 
