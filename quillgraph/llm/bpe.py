@@ -5,7 +5,8 @@ leftmost pair of minimum rank; pair ranks are looked up in an open-addressed has
 closes up behind the merge, and rows without a pair left leave the matrix.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; texts of any length,
-also without a space, are encoded whole; repeated rows are encoded each; other columns are kept.
+also without a space, are encoded whole; repeated rows are encoded each; other columns are kept;
+texts are cut at the added tokens of a tokenizers file, each of which is one id.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -120,10 +122,14 @@ class ByteBPE:
             lower = end != ""
             made = cls(pairs, [rank[c] for c in chars], [rank[c + end] for c in chars] if end else None, spaces_join=not lower, prepare=_lowered if lower else None)
             made.ids_of = np.array([vocab[n] for n in rank], np.int32)
+            assert not any(x[k] for x in kept["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")), "an added token isn't plain"
+            made.added = {x["content"]: x["id"] for x in kept["added_tokens"]}
             _loaded[path] = made
         return _loaded[path]
 
     ids_of: np.ndarray | None = None
+    #: Texts that are one id wherever they stand, looked for before anything is prepared.
+    added: dict[str, int] = {}
 
     def merge_matrix(self, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, padded with -1; their number) of each row of bytes."""
@@ -196,6 +202,19 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(uint16 ids of all texts, one after another; where each text's ids begin, and the end)."""
+        if not any(a in x for x in texts for a in self.added):
+            return self._encode_plain(texts)
+        pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        pieces = [pattern.split(x) for x in texts]  # text, token, text, ..., text
+        flat, at = self._encode_plain([p for x in pieces for p in x[::2]])
+        ends = np.cumsum([len(x) // 2 + 1 for x in pieces])
+        inner = np.ones(ends[-1], bool)
+        inner[ends - 1] = False
+        flat = np.insert(flat, at[1:][inner], np.array([self.added[p] for x in pieces for p in x[1::2]], "<u2"))
+        tokens = np.cumsum([len(x) // 2 for x in pieces])
+        return flat, np.concatenate([[0], at[ends] + tokens])
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.prepare is not None:
             texts = [self.prepare(x) for x in texts]
         if not texts:

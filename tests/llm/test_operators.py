@@ -137,6 +137,29 @@ def test_packing_places_every_id_once(spark):
         assert at <= 64 and at & (at - 1) == 0
 
 
+def test_added_tokens_equal_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  <|ENDOFTEXT|>", "plain", None, "<|startoftext|>É <|endoftext", "<|endoftext|> <|startoftext|>"]
+    texts += ["".join(rnd.choice(["<|endoftext|>", "<|startoftext|>", "<|", " ", "  ", "don't", "É9", "\n"]) for _ in range(rnd.randint(0, 12))) for _ in range(200)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        flat, at = bpe.ByteBPE.from_json(public_tokenizers.path(name)).encode([t or "" for t in texts])
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+        if name == "word_bpe_49k.json":
+            path = "file://" + str(tmp_path / "added")
+            token_files.write_tokens(frame(spark, texts), path, shards=3)
+            for r in token_files.read_tokens(spark, path).collect():
+                ids = np.array([*want[r["doc_id"]], 2], "<u4")
+                assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+        else:
+            for r in packing.pack_documents(frame(spark, texts), window=64).collect():
+                ids = np.array([*want[r["doc_id"]], 1], "<u4")
+                assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 # ---- op3
 
 
