@@ -7,21 +7,25 @@ region, and neighbours there, which share the longest prefixes, are candidates,
 the region's first document, around which a large group of copies joins at once. A crowded region
 is ordered by further hashes first (its depth adapts to its size).
 
-Candidates are confirmed exactly, in rounds: the most often met candidate of each document first,
-then those that still join different components. Links inside a component that is already joined
-change nothing and aren't confirmed. Where a region still holds several components and neighbours
-didn't cover all its pairs, its documents are open: they are joined exactly by prefix filter.
-Two linked sets share one of the first n - ceil(0.75 n) + 1 shingles of each in any common order;
-the smaller one, as it must share 2 * 0.75 / 1.75 of its own, already in its first seventh or so.
-The order is rarest first by a table of hashed counts, so a shared passage or template brings few
-together. Every pair of open documents in different components that meets so and can
-still link by sizes and places is confirmed; hot shingles are cut in blocks, and none is left out.
+Candidates are confirmed exactly, in rounds. First each document's most often met one, which joins
+a group of copies whatever its size; a region that then is one component leaves, so that later
+rounds see only what is still apart. Then all neighbours in different components. Where neighbours
+didn't cover all pairs of a region that still holds several components, its documents are open:
+they are joined exactly by prefix filter. Two linked sets share one of the first
+n - ceil(0.75 n) + 1 shingles of each in any common order; the smaller one, as it must share
+2 * 0.75 / 1.75 of its own, already in its first seventh or so. The order is rarest first by a
+table of hashed counts, so a shared passage or template brings few together. Every pair of open
+documents in different components that meets so and can still link by sizes and places is
+confirmed; hot shingles are cut in blocks, and none is left out. Links inside a component that is
+already joined change nothing and aren't confirmed.
 So a pair of similarity s is missed only if it is in no common region, with probability
 (1 - s^DEPTH)^TREES, 5e-6 at 0.75.
 
-Defined results: null texts and texts without words are linked with nothing (n_shingles 0);
-repeated rows keep their rows and share a component; a null doc_id takes no part and is its own
-result; other columns are ignored; an empty table gives no rows.
+Defined results: null texts and texts without words are linked with nothing (n_shingles 0); texts
+of any length are read whole; ties go to the smallest doc_id; repeated rows keep their rows and
+share a component; a null doc_id takes no part and is its own result (component_id its own null,
+or its copies' component; never kept); other columns, whatever their names, are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -210,47 +214,57 @@ def _best_each(pairs: DataFrame) -> DataFrame:
     return best.select((-F.col("p.x")).alias("a"), (-F.col("p.y")).alias("b")).distinct()
 
 
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components so far."""
-    x = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    wide = pairs.join(x, "a", "left").join(y, "b", "left")
-    return wide.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+_PLACED = ("tree", "first", "deep", "doc_id", "n")
+
+
+def _live(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of regions that hold several components so far, with their component c and the region's
+    size and first document. What is joined already leaves here, so later rounds see what is still apart."""
+    rows = rows.select(*_PLACED)
+    if labels is None:
+        placed = rows.withColumn("c", F.col("doc_id"))
+    else:
+        placed = rows.join(labels, F.col("doc_id") == F.col("node"), "left").select(*_PLACED, F.coalesce("component", "doc_id").alias("c"))
+    crowd = placed.groupBy("tree", "first").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n", "c")).alias("pivot"), F.min("c").alias("x"), F.max("c").alias("y"))
+    return placed.join(crowd.filter("x <> y").drop("x", "y"), ["tree", "first"])
+
+
+def _candidates(live: DataFrame, neighbours: int, percent: int) -> DataFrame:
+    """(a, b, votes) in different components: each document with the next ones in each order and its
+    region's first document, where their sizes allow a link."""
+    shift = F.when(F.col("size") <= REGION, 63).when(F.col("size") <= REGION * FANOUT, 48).when(F.col("size") <= REGION * FANOUT**2, 32).otherwise(16)
+    within = F.when(F.col("size") <= REGION, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("deep"), shift))
+    order = Window.partitionBy("tree", "first", "within").orderBy("deep", "doc_id")
+    met = F.array(*[F.lead(F.struct("doc_id", "n", "c"), k).over(order) for k in range(1, neighbours + 1)], F.col("pivot"))
+    able = lambda x: x.isNotNull() & (x["c"] != F.col("c")) & (100 * F.least(F.col("n"), x["n"]) >= percent * F.greatest(F.col("n"), x["n"]))
+    pairs = live.withColumn("within", within).select("doc_id", "n", "c", met.alias("met")).select("doc_id", F.explode(F.filter("met", able)).alias("x"))
+    return pairs.groupBy(F.least("doc_id", "x.doc_id").alias("a"), F.greatest("doc_id", "x.doc_id").alias("b")).agg(F.count("*").alias("votes"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, forest: Forest | None = None) -> DataFrame:
     """docs' (doc_id, text) as doc_id, n_shingles, component_id, kept."""
     forest = forest or Forest()
-    scratch = Scratch(docs.sparkSession, "near-dup")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-dup")
     signed = scratch.write(signatures(docs, forest), "signed")
     sets = scratch.write(signed.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
     reps = signed.join(sets, (signed["doc_id"] == sets["rep"]) & (signed["set_hash"] == sets["set_hash"]), "left_semi").dropDuplicates(["doc_id"])
 
     rows = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode(F.arrays_zip("first", "deep")).alias("tree", "x")).select("doc_id", "n", "tree", "x.first", "x.deep")
-    crowd = rows.groupBy("tree", "first").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("pivot")).filter("size > 1")
-    regions = scratch.write(rows.join(crowd, ["tree", "first"]), "regions")
-    shift = F.when(F.col("size") <= REGION, 63).when(F.col("size") <= REGION * FANOUT, 48).when(F.col("size") <= REGION * FANOUT**2, 32).otherwise(16)
-    within = F.when(F.col("size") <= REGION, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("deep"), shift))
-    order = Window.partitionBy("tree", "first", "within").orderBy("deep", "doc_id")
-    near = F.array(*[F.lead(F.struct("doc_id", "n"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    beside = regions.withColumn("within", within).select("doc_id", "n", near.alias("near"))
-    pairs = beside.select("doc_id", "n", F.explode("near").alias("x")).filter("x is not null")
-    pairs = pairs.union(regions.filter("doc_id <> pivot.doc_id").select("doc_id", "n", "pivot"))
-    pairs = pairs.filter(100 * F.least("n", "x.n") >= percent * F.greatest("n", "x.n"))
-    pairs = pairs.groupBy(F.least("doc_id", "x.doc_id").alias("a"), F.greatest("doc_id", "x.doc_id").alias("b")).agg(F.count("*").alias("votes"))
-    pairs = scratch.write(pairs, "pairs")
-
-    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(regions.filter(F.col("size") > NEIGHBOURS + 1).select("doc_id")).distinct()
+    live = scratch.write(_live(rows, None), "live-0")
+    some = live.select("doc_id").distinct()
     texts = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
-    tested = docs.sparkSession.createDataFrame([], "a long, b long")
-    for k in range(4):
-        if k == 3:
-            left = _across(regions, labels, texts, percent, scratch).join(tested, ["a", "b"], "left_anti")
+    labels = spark.createDataFrame([], "node long, component long")
+    tested = spark.createDataFrame([], "a long, b long")
+    for k in range(3):
+        if k == 0:
+            left = _best_each(scratch.write(_candidates(live, 1, percent), "pairs"))
         else:
-            left = _crossing(pairs.join(tested, ["a", "b"], "left_anti"), labels) if k else pairs
-        chosen = scratch.write(_best_each(left) if k < 2 else left.select("a", "b"), f"round-{k}")
+            live = scratch.write(_live(live, labels), f"live-{k}")
+            left = _candidates(live, NEIGHBOURS, percent) if k == 1 else _across(live, texts, percent, scratch)
+            left = left.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        chosen = scratch.write(left, f"round-{k}")
         links = scratch.write(confirm(chosen, texts, percent), f"links-{k}")
         if not links.isEmpty():  # edges of the components so far keep what was joined
             stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -291,13 +305,10 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return hashes[np.lexsort((hashes, counts[_slots(hashes)]))][: n - -(-percent * n // 100) + 1]
 
 
-def _across(regions: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _across(live: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) in different components, of documents in regions of several components where neighbours
     didn't cover all pairs: all that can link by their prefixes, sizes and places."""
-    placed = regions.filter(F.col("size") > NEIGHBOURS + 1).select("tree", "first", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left")
-    placed = placed.select("tree", "first", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    several = placed.groupBy("tree", "first").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("tree", "first")
-    open_ = placed.join(several, ["tree", "first"], "left_semi").select("doc_id", "c").distinct()
+    open_ = live.filter(F.col("size") > NEIGHBOURS + 1).select("doc_id", "c").distinct()
     opened = scratch.write(texts.join(open_, "doc_id"), "open")
     counts = opened.sparkSession.sparkContext.broadcast(shingle_counts(opened))
 

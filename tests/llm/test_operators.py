@@ -289,24 +289,60 @@ def test_search_with_uneven_norms(spark, spread, probing, least):
 # ---- op8
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    texts = ODD + many(200) + ["same words only here"] * 3
-    sets = [set(near_dup.shingles(t).tolist()) for t in texts]
-    parent = list(range(len(texts)))
+def word_sets(texts):
+    """Sets of 5-word shingles as tuples of strings, apart from the operator's own hashes."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def smallest_reachable(sets):
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(texts)):
+    for i in range(len(sets)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    texts = ODD + many(200) + ["same words only here"] * 3
+    sets = word_sets(texts)
+    want = smallest_reachable(sets)
     got = {r["doc_id"]: r for r in near_dup.near_duplicates(frame(spark, texts, extra=True)).collect()}
     for i in range(len(texts)):
-        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), find(i), find(i) == i)
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), want[i], want[i] == i)
+
+
+def test_near_duplicates_of_a_family_at_the_limit(spark):
+    """Documents of one template that mostly lie just below the limit: few pairs link, and none may be lost."""
+    rnd = random.Random(22)
+    new = lambda: f"w{rnd.randrange(10**9)}"
+    base = [new() for _ in range(600)]
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for at in rnd.sample(range(600), 11):
+            w[at] = new()
+        texts.append(" ".join(w))
+    want = smallest_reachable(word_sets(texts))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    assert len(set(want)) > 1 and [got[i] for i in range(len(texts))] == want
+
+
+def test_near_duplicates_odd_rows(spark):
+    """Repeated rows share a component, null ids take no part, very long texts are whole."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (4, long), (3, long + " more"), (5, None)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(1, 2, 1, True)] * 2 + [(None, 2, 1, False), (4, 59_996, 3, False), (3, 59_997, 3, True), (5, 0, 5, True)], key=str)
 
 
 def test_near_duplicates_in_a_region_of_many_components(spark):
