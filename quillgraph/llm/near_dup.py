@@ -7,14 +7,13 @@ region, and neighbours there, which share the longest prefixes, are candidates,
 the region's first document, around which a large group of copies joins at once. A crowded region
 is ordered by further hashes first (its depth adapts to its size).
 
-Candidates are confirmed exactly, in rounds. First each document's most often met one, which joins
-a group of copies whatever its size; a region that then is one component leaves, so that later
-rounds see only what is still apart. Then all neighbours in different components. Where neighbours
-didn't cover all pairs of a region that still holds several components, its documents are open:
-they are joined exactly by prefix filter. Two linked sets share one of the first
-n - ceil(0.75 n) + 1 shingles of each in any common order; the smaller one, as it must share
-2 * 0.75 / 1.75 of its own, already in its first seventh or so. The order is rarest first by a
-table of hashed counts, so a shared passage or template brings few together. Every pair of open
+Candidates are confirmed exactly, in two rounds. First each document's most often met one, which
+joins a group of copies whatever its size; a region that then is one component leaves, so that the
+second round sees only what is still apart. There all pairs of small regions are confirmed; the
+documents of larger ones are open and joined exactly by prefix filter. Two linked sets share one of
+the first n - ceil(0.75 n) + 1 shingles of each in any common order; the smaller one, as it must
+share 2 * 0.75 / 1.75 of its own, already in its first seventh or so. The order is rarest first by
+a table of hashed counts, so a shared passage or template brings few together. Every pair of open
 documents in different components that meets so and can still link by sizes and places is
 confirmed; hot shingles are cut in blocks, and none is left out. Links inside a component that is
 already joined change nothing and aren't confirmed.
@@ -41,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.shared import Scratch
+from quillgraph.llm.shared import Scratch, conf
 
 SHINGLE = 5
 TREES = 32
@@ -49,8 +48,11 @@ DEPTH = 4
 #: Regions above this size are ordered by one more hash, above its multiples by FANOUT by further ones.
 REGION = 512
 FANOUT = 64
-NEIGHBOURS = 3
+#: Regions up to this size are compared pair by pair, larger ones by prefix filter.
+SMALL = 4
 EDGES_PER_TASK = 50_000
+#: Documents, or pairs with both texts, that a Python worker holds at once.
+BATCH = 2000
 #: Slots of hashed shingle counts; they order shingles only, so clashes cost time, not links.
 COUNTS = 1 << 20
 #: Documents of one shingle that a task meets at once; more are cut in blocks.
@@ -76,7 +78,7 @@ class _WordHashes(dict):
             self[word] = h
         return h
 
-    def bound(self, most: int = 400_000) -> None:
+    def bound(self, most: int = 100_000) -> None:
         if len(self) > most:
             self.clear()
 
@@ -243,9 +245,12 @@ def _candidates(live: DataFrame, neighbours: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, forest: Forest | None = None) -> DataFrame:
     """docs' (doc_id, text) as doc_id, n_shingles, component_id, kept."""
-    forest = forest or Forest()
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dup")
+    with conf(docs.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}):
+        return _near_duplicates(docs, percent, forest or Forest())
+
+
+def _near_duplicates(docs: DataFrame, percent: int, forest: Forest) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "near-dup")
     signed = scratch.write(signatures(docs, forest), "signed")
     sets = scratch.write(signed.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
     reps = signed.join(sets, (signed["doc_id"] == sets["rep"]) & (signed["set_hash"] == sets["set_hash"]), "left_semi").dropDuplicates(["doc_id"])
@@ -255,21 +260,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, forest: Forest | No
     some = live.select("doc_id").distinct()
     texts = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    labels = spark.createDataFrame([], "node long, component long")
-    tested = spark.createDataFrame([], "a long, b long")
-    for k in range(3):
-        if k == 0:
-            left = _best_each(scratch.write(_candidates(live, 1, percent), "pairs"))
-        else:
-            live = scratch.write(_live(live, labels), f"live-{k}")
-            left = _candidates(live, NEIGHBOURS, percent) if k == 1 else _across(live, texts, percent, scratch)
-            left = left.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        chosen = scratch.write(left, f"round-{k}")
-        links = scratch.write(confirm(chosen, texts, percent), f"links-{k}")
-        if not links.isEmpty():  # edges of the components so far keep what was joined
-            stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = components(links.union(stars), scratch, f"components-{k}")
-        tested = tested.union(chosen)
+    pairs = scratch.write(_candidates(live, 1, percent), "pairs")
+    chosen = scratch.write(_best_each(pairs), "round-0")
+    links = scratch.write(confirm(chosen, texts, percent), "links-0")
+    labels = components(links, scratch, "components-0")
+
+    live = scratch.write(_live(live, labels), "live-1")
+    left = _candidates(live.filter(F.col("size") <= SMALL), SMALL - 1, percent).select("a", "b").union(_across(live, texts, percent, scratch))
+    left = scratch.write(left.join(chosen, ["a", "b"], "left_anti").distinct(), "round-1")
+    more = scratch.write(confirm(left, texts, percent), "links-1")
+    if not more.isEmpty():  # edges of the components so far keep what was joined
+        stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(more.union(stars), scratch, "components-1")
 
     rep_of = sets.join(labels, sets["rep"] == labels["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(rep_of, "set_hash", "left")
@@ -306,9 +308,9 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _across(live: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b) in different components, of documents in regions of several components where neighbours
-    didn't cover all pairs: all that can link by their prefixes, sizes and places."""
-    open_ = live.filter(F.col("size") > NEIGHBOURS + 1).select("doc_id", "c").distinct()
+    """(a, b) in different components, of documents in regions of several components that are too large
+    to compare pair by pair: all that can link by their prefixes, sizes and places."""
+    open_ = live.filter(F.col("size") > SMALL).select("doc_id", "c").distinct()
     opened = scratch.write(texts.join(open_, "doc_id"), "open")
     counts = opened.sparkSession.sparkContext.broadcast(shingle_counts(opened))
 
