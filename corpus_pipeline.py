@@ -30,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     training = ~toxicity.held_out(F.col("doc_id"))
-    rejected = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), training).filter("predicted = 1").select("doc_id")
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+    scored = toxicity.with_toxicity(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), training)
+    return scored.filter("toxicity.predicted = 0").select(*COLUMNS)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,21 +1,26 @@
 """Toxicity by noisy-channel deobfuscation and the purity of word features.
 
 Tokens that look disguised (signs among letters, letters set apart, long repetitions) become
-character lattices: each sign may stand for letters, separators may be nothing, a run of one
-letter may be one or two of it. A Viterbi search finds the likeliest reading under a character
-trigram model whose counts come from the words of all documents. The document is scored on its
-own words and on the restored ones.
-
-A word's features are itself and its beginnings; a document's are also
-beginnings that two or three different words share. Over a bounded sample of
-labelled documents (SAMPLE of each label, by id hash) the documents that hold a feature are
-counted by label, after groups of copies in the sample are cut to about one, as copies say
-nothing new.
-A word scores its purest feature's smoothed share of toxic documents, a document a noisy or over
-its highest words.
-
-Defined results: null and empty texts score EMPTY (0); texts of any length are read whole;
-repeated rows score alike; null labels are left out; without labels of both kinds all score 0.
+character lattices: each sign may stand for letters, separators may be nothing, a space may be
+nothing or the end of a word, a run of one letter may be one or two of it. A Viterbi search finds
+the likeliest reading under a character trigram model whose counts come from all words of all
+documents. The document is scored on its own words and on the restored ones. Long tokens and runs
+are read in overlapping pieces.
+
+A word's features are itself and its beginnings; a document's are also beginnings that two or three
+different words share. Over a bounded sample of labelled documents (SAMPLE of each label, by id
+hash) the documents that hold a feature are counted by label, after groups of copies in the sample
+are cut to about one, as copies say nothing new. A word scores its purest feature's smoothed share
+of toxic documents, a document a noisy or over its words.
+
+The model is every gram met, packed to 16 bytes each, which the driver collects and broadcasts: it
+grows with the distinct grams of the writing in use, not with the documents.
+
+Defined results: null and empty texts score EMPTY (0); texts of any length are read whole; repeated
+rows score alike; a labelled id with several rows takes part with each of its texts, one that has
+none with none; null labels are left out; without labels of both kinds all score 0; a score exactly
+at the threshold is toxic; other columns, whatever their names, don't matter; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +42,7 @@ from quillgraph.llm.shared import Scratch
 EMPTY = 0.0
 #: Labelled documents of each label that features are counted on, at most.
 SAMPLE = 10_000
-#: Features kept, at most, the purest first; needed documents of a feature; smoothing.
-FEATURES = 100_000
+#: Needed documents of a feature; smoothing; purity from which a feature is kept.
 SUPPORT = 6
 PRIOR = 1.0
 PURE = 0.9
@@ -51,12 +55,13 @@ SEPARATORS = "._-*~'`^/\\"
 _SIGNS = re.escape("".join(LEET) + SEPARATORS)
 #: What makes a token look disguised: signs between letters, a sign for a first letter, a letter three times over.
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[0-9@$€£|][^\W\d_]")
+_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 #: Letters set apart by single spaces.
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){3,24}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){3,}(?!\S)")
 _TWO_ALONE = re.compile(r" \S \S ")
-#: Longer tokens are no words.
-MAX_TOKEN = 40
+#: Longer tokens and runs are read in pieces that overlap by half.
+PIECE = 64
 
 
 def features(word: str) -> list[str]:
@@ -70,34 +75,56 @@ def document_features(words: set[str]) -> set[str]:
     return {f for w in words for f in features(w)} | {f"{k}^{p}" for p, m in shared.items() for k in (2, 3) if m >= k}
 
 
-@dataclass
-class CharModel:
-    """Interpolated character trigrams over words between boundaries."""
+def pack(gram: str) -> int:
+    """A gram of up to three characters as one number, 21 bits each, in the grams' order."""
+    out = 0
+    for c in gram:
+        out = out << 21 | ord(c)
+    return out
 
-    counts: dict[str, int]
-    scale: dict[str, int] = field(init=False)
-    vocabulary: int = field(init=False)
 
-    def __post_init__(self) -> None:
-        self.scale = Counter()
+class CharModel:
+    """Interpolated character trigrams over words between boundaries: by n, sorted packed grams and
+    their running counts, so that a context's total is a difference of two."""
+
+    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]]):
+        none = np.empty(0, np.int64)
+        self.keys = {n: grams.get(n, (none, none))[0] for n in (1, 2, 3)}
+        self.sums = {n: np.concatenate([[0], np.cumsum(grams.get(n, (none, none))[1])]) for n in (1, 2, 3)}
+        self.vocabulary = max(2, len(self.keys[1]))
         self.memo: dict[tuple[str, str], float] = {}
-        for gram, n in self.counts.items():
-            self.scale[gram[:-1]] += n
-        self.vocabulary = max(2, len({g for g in self.counts if len(g) == 1}))
+
+    @classmethod
+    def of(cls, counts: dict[str, int]) -> CharModel:
+        out = {}
+        for n in (1, 2, 3):
+            rows = sorted((pack(g), m) for g, m in counts.items() if len(g) == n)
+            out[n] = np.array([k for k, _ in rows], np.int64), np.array([m for _, m in rows], np.int64)
+        return cls(out)
+
+    def between(self, n: int, low: int, high: int) -> int:
+        a, b = np.searchsorted(self.keys[n], (low, high))
+        return int(self.sums[n][b] - self.sums[n][a])
 
     def cost(self, before: str, c: str) -> float:
         key = (before[-2:], c)
         if key not in self.memo:
+            if len(self.memo) > 1_000_000:
+                self.memo.clear()
             p = 1.0 / self.vocabulary
-            for n in (0, 1, 2):
-                context = before[len(before) - n :] if n else ""
-                if n <= len(before):
-                    total = self.scale.get(context, 0)
-                    p = (self.counts.get(context + c, 0) + 8 * p) / (total + 8)
+            for n in range(min(2, len(before)) + 1):
+                context = pack(before[len(before) - n :]) if n else 0
+                gram = context << 21 | ord(c)
+                total = self.between(n + 1, context << 21, context + 1 << 21)
+                p = (self.between(n + 1, gram, gram + 1) + 8 * p) / (total + 8)
             self.memo[key] = -math.log(p)
         return self.memo[key]
 
 
+#: Between two words in a reading: the end of one and the beginning of the next.
+BREAK = "\x03\x02"
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each sign, (letters it may be, channel cost)."""
     out: list[list[tuple[str, float]]] = []
@@ -110,12 +137,14 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             reads += [(x * 2, 0.9) for x, _ in list(reads)] if n > 1 else []
             if c in SEPARATORS or c.isspace() or not reads:
                 reads.append(("", 0.2 if c.isspace() or c in SEPARATORS else 3.0))
+            if c.isspace():
+                reads.append((BREAK, 0.2))
         out.append(reads)
     return out
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest word behind a token."""
+    """The likeliest words behind a token, with spaces between."""
     states: dict[str, tuple[float, str]] = {"\x02": (0.0, "")}
     for reads in lattice(token):
         new: dict[str, tuple[float, str]] = {}
@@ -123,16 +152,25 @@ def restore(token: str, model: CharModel) -> str:
             for letters, channel in reads:
                 c, context = cost + channel, before
                 for x in letters:
+                    if x == "\x02":  # a new word, whatever came before
+                        context = x
+                        continue
                     c += model.cost(context, x)
                     context = (context + x)[-2:]
                 if context not in new or c < new[context][0]:
                     new[context] = (c, word + letters)
         states = new
-    return min((cost + model.cost(before, "\x03"), word) for before, (cost, word) in states.items())[1]
+    return min((cost + model.cost(before, "\x03"), word) for before, (cost, word) in states.items())[1].replace(BREAK, " ")
+
+
+def pieces(token: str) -> list[str]:
+    """The token, or overlapping pieces of a long one. Runs above three read as three."""
+    token = _RUN.sub(r"\1\1\1", token)
+    return [token] if len(token) <= PIECE else [token[i : i + PIECE] for i in range(0, len(token) - PIECE // 2, PIECE // 2)]
 
 
 def disguised(token: str) -> bool:
-    return len(token) <= MAX_TOKEN and not token.isalpha() and _DISGUISED.search(token) is not None or len(token) <= MAX_TOKEN and _TRIPLE.search(token) is not None
+    return not token.isalpha() and _DISGUISED.search(token) is not None or _TRIPLE.search(token) is not None
 
 
 def spaced(text: str) -> list[str]:
@@ -145,10 +183,16 @@ def suspects(text: str) -> list[str]:
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): character 1- to 3-grams of all words of all documents; a task sends each gram once."""
+    """(n, gram, count): packed character 1- to 3-grams of all words of all documents; a task sends each
+    gram once for as many as it holds at a time."""
+
+    def rows(grams: dict[int, Counter]) -> Iterator[pd.DataFrame]:
+        for n, found in grams.items():
+            yield pd.DataFrame({"n": np.full(len(found), n, np.int32), "gram": np.fromiter(found, np.int64, len(found)), "count": np.fromiter(found.values(), np.int64, len(found))})
+            found.clear()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams: Counter = Counter()
+        grams: dict[int, Counter] = {1: Counter(), 2: Counter(), 3: Counter()}
         tokens: Counter = Counter()
         for b in batches:
             for text in b["text"]:
@@ -157,19 +201,21 @@ def char_counts(docs: DataFrame) -> DataFrame:
                 if len(tokens) > 100_000:
                     _add_grams(tokens, grams)
                     tokens.clear()
+                    if len(grams[3]) > 2_000_000:
+                        yield from rows(grams)
         _add_grams(tokens, grams)
-        yield pd.DataFrame({"gram": pd.Series(list(grams), dtype=object), "n": pd.Series(list(grams.values()), dtype="int64")})
+        yield from rows(grams)
 
-    return docs.select("text").mapInPandas(work, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(work, "n int, gram long, count long").groupBy("n", "gram").agg(F.sum("count").alias("count"))
 
 
 def words_in(token: str) -> list[str]:
     return [token] if token.isalpha() else WORD.findall(token)
 
 
-def _add_grams(tokens: Counter, grams: Counter) -> None:
+def _add_grams(tokens: Counter, grams: dict[int, Counter]) -> None:
     """Adds the grams of counted tokens' words, each word between boundary signs."""
-    words = [(w[:64], n) for t, n in tokens.items() for w in words_in(t)]
+    words = [(w, n) for t, n in tokens.items() for w in words_in(t)]
     if not words:
         return
     points = np.frombuffer("".join("\x02" + w + "\x03" for w, _ in words).encode("utf-32-le"), np.uint32)
@@ -183,9 +229,9 @@ def _add_grams(tokens: Counter, grams: Counter) -> None:
             key = key << np.uint64(21) | points[ends - j].astype(np.uint64)
         found, inverse = np.unique(key, return_inverse=True)
         total = np.bincount(inverse, weights=weight[ends]).astype(np.int64)
-        mask = (1 << 21) - 1
+        held = grams[n]
         for k, m in zip(found.tolist(), total.tolist(), strict=True):
-            grams["".join(chr(k >> 21 * j & mask) for j in range(n - 1, -1, -1))] += m
+            held[k] += m
 
 
 def labelled_sample(labels: DataFrame, is_training, most: int = SAMPLE) -> DataFrame:
@@ -223,20 +269,21 @@ def feature_purity(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"]):
-                counts[toxic].update(document_features(set(WORD.findall(text.lower()))))
+                if isinstance(text, str):  # a sampled id may have a row without text
+                    counts[toxic].update(document_features(set(WORD.findall(text.lower()))))
         found = list(counts[0].keys() | counts[1].keys())
         yield pd.DataFrame({"feature": pd.Series(found, dtype=object), "a": pd.Series([counts[1][f] for f in found], dtype="int64"), "n": pd.Series([counts[0][f] + counts[1][f] for f in found], dtype="int64")})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(single), "doc_id").mapInPandas(work, "feature string, a long, n long")
     counts = rows.groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).filter(F.col("a") >= SUPPORT)
     pure = counts.select("feature", (F.col("a") / (F.col("n") + PRIOR)).alias("p")).filter(F.col("p") >= PURE)
-    return {r["feature"]: r["p"] for r in pure.orderBy(F.desc("p"), "feature").limit(FEATURES).collect()}
+    return {r["feature"]: r["p"] for r in pure.collect()}  # features of the bounded sample
 
 
 class Scorer:
     """Scores words once and keeps them, up to a bound."""
 
-    def __init__(self, purity: dict[str, float], grams: dict[str, int]):
+    def __init__(self, purity: dict[str, float], grams: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.purity, self.model = purity, CharModel(grams)
         #: Beginnings whose sharing scores, and the first letters of all that scores.
         self.stems = {f[2:] for f in purity if f[0] in "23" and f[1:2] == "^"}
@@ -247,10 +294,11 @@ class Scorer:
         """(score, scoring beginnings)."""
         if w[:4] not in self.heads:
             return 0.0, ()
-        return max((self.purity.get(f, 0.0) for f in features(w[:64])), default=0.0), tuple(w[:n] for n in (4, 5, 6, 7) if len(w) > n and w[:n] in self.stems)
+        return max((self.purity.get(f, 0.0) for f in features(w)), default=0.0), tuple(w[:n] for n in (4, 5, 6, 7) if len(w) > n and w[:n] in self.stems)
 
     def restored(self, token: str) -> list[tuple[str, float]]:
-        words = [w for w in WORD.findall(restore(token, self.model)) if len(w) > 3]
+        cut = pieces(token)
+        words = {w for x in cut if len(cut) == 1 or " " in x or disguised(x) for w in WORD.findall(restore(x, self.model))}
         return [(w, p * 0.95) for w in words if (p := self.word(w)[0])]
 
     def token(self, t: str) -> tuple:
@@ -265,7 +313,7 @@ class Scorer:
         """(score, number of disguised tokens that restored to a scoring word)."""
         low = text.lower()
         known = self.tokens
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         found: dict[str, float] = {}
         hidden: list[tuple[str, float]] = []
@@ -289,28 +337,36 @@ class Scorer:
         for run in spaced(low):
             hidden += self.restored(run)
         new = {w: p for w, p in hidden if w not in found}
-        best = sorted([*found.values(), *new.values()], reverse=True)[:3]
-        return 1 - math.prod(1 - p for p in best), len(new)
+        return 1 - math.prod(1 - p for p in sorted([*found.values(), *new.values()])), len(new)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, is_training) -> DataFrame:
-    """(doc_id, score, predicted, n_restored) of docs (doc_id, text), learnt from labels (doc_id,
-    toxic) of rows for which is_training holds."""
+def with_toxicity(docs: DataFrame, labels: DataFrame, is_training) -> DataFrame:
+    """docs with toxicity: struct of score, predicted and n_restored, learnt from labels (doc_id, toxic)
+    of rows for which is_training holds."""
     sample = labelled_sample(labels, is_training)
     purity = feature_purity(docs, sample)
-    grams = {r["gram"]: r["n"] for r in char_counts(docs).orderBy(F.desc("n"), "gram").limit(200_000).collect()}
+    counts = char_counts(docs).toArrow()
+    grams = {}
+    for n in (1, 2, 3):
+        mine = counts.filter(pc.field("n") == n).sort_by("gram")
+        grams[n] = mine["gram"].to_numpy(), mine["count"].to_numpy()
     broadcast = docs.sparkSession.sparkContext.broadcast((purity, grams))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, predicted int, n_restored int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(*broadcast.value)
-        for b in batches:
-            rows = [scorer.text(t) if isinstance(t, str) and t else (EMPTY, 0) for t in b["text"]]
-            out = pd.DataFrame(rows, columns=["score", "n_restored"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            out["predicted"] = (out["score"] >= THRESHOLD).astype("int32")
-            yield out
+        for texts in batches:
+            out = pd.DataFrame([scorer.text(t) if isinstance(t, str) and t else (EMPTY, 0) for t in texts], columns=["score", "n_restored"])
+            out["predicted"] = out["score"] >= THRESHOLD
+            yield out[["score", "predicted", "n_restored"]].astype({"predicted": "int32", "n_restored": "int32"})
+
+    # not deterministic for the planner alone: it would run twice where a filter and a result both read it
+    return docs.withColumn("toxicity", score.asNondeterministic()("text"))
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, score double, n_restored int, predicted int")
+
+def toxicity(docs: DataFrame, labels: DataFrame, is_training) -> DataFrame:
+    """(doc_id, score, predicted, n_restored) of docs (doc_id, text); see with_toxicity."""
+    return with_toxicity(docs.select("doc_id", "text"), labels, is_training).select("doc_id", "toxicity.score", "toxicity.predicted", "toxicity.n_restored")
 
 
 def held_out(doc_id):
