@@ -64,7 +64,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the vectors have no structure to follow: 0.9 recall takes cells wide enough to see most of them
+    # the vectors have no structure to follow: 0.9 recall takes cells wide enough to see most of them (README)
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, probing=ann.Probing(hashes=4))
 
 
@@ -97,3 +97,20 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON r.a = d.doc_id"""
+
+ORACLES["op5_quality_rules"] = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) > 2),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY r),
+l AS (SELECT r, source, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM d),
+n AS (SELECT r, source, line, lower(trim(line, ' ')) AS norm, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM l),
+u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM n GROUP BY r),
+s AS (SELECT r, source, list_sort(list(DISTINCT norm)) AS lines FROM n GROUP BY r, source),
+f AS (SELECT source, norm FROM (SELECT DISTINCT source, lines, unnest(lines) AS norm FROM s) x GROUP BY source, norm HAVING count(*) > 50),
+x AS (SELECT r, count(*) AS n, sum(chars) AS chars FROM n JOIN f ON n.norm = f.norm AND n.source IS NOT DISTINCT FROM f.source GROUP BY r),
+m AS (SELECT d.r, doc_id, len(w.w)::BIGINT AS n_words, list_sum(list_transform(w.w, lambda y: length(y)))::BIGINT AS chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_removed_lines, coalesce(x.chars, 0) AS removed FROM d JOIN w USING (r) LEFT JOIN u USING (r) LEFT JOIN c USING (r) LEFT JOIN x USING (r)),
+o AS (SELECT doc_id, n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_removed_lines::BIGINT AS n_removed_lines, CASE WHEN n_removed_lines > 0 THEN removed::DOUBLE / chars ELSE 0.0 END AS removed_share FROM m)
+SELECT *, NOT base_failed AND removed_share <= 0.7 AS kept FROM o"""

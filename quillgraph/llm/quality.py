@@ -1,13 +1,16 @@
 """Quality rules: repetition inside a document and line frequency across documents, in Catalyst only.
 
-A document's lines, of any length but not blank, are normalised and hashed. For each host (column source) and line the
-distinct documents holding it are counted; a line above the limit is boilerplate there and is
-removed, and a document whose text is mostly such lines is depleted and rejected. Copies of one
-document must not make its body look like boilerplate, so documents are told apart by content:
-a document is the set of its normalised lines.
+A document's lines, of any length but not blank, are normalised and hashed. For each host (column
+source) and line the distinct documents holding it are counted; a line above the limit is
+boilerplate there and is removed, and a document whose text is mostly such lines is depleted and
+rejected. Copies of one document must not make its body look like boilerplate, so documents are
+told apart by content: a document is the set of its normalised lines.
 
 Defined results: null and empty texts have no words and fail the base rule; a null source is a
-host of its own; repeated rows are separate documents; extra columns are ignored.
+host of its own; texts and lines of any length are whole; a line exactly at the limit stays, and so
+does a document that loses exactly the allowed share; repeated rows are treated each and count as
+one document; a null doc_id is a row as any other; other columns are kept, but columns that have a
+result's name are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,29 +123,38 @@ def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """(row, lines, removed_chars, n_removed): the frequent lines of each row that holds some. docs needs a column row."""
-    measured = F.transform(_lines(F.col("text")), lambda x: F.struct(_line_hash(x).alias("line"), F.length(F.regexp_replace(x, SPACES, "")).alias("chars")))
-    held = docs.select("row", F.col("source").alias("host"), F.explode(measured).alias("x")).select("row", "host", "x.line", "x.chars")
+    """(row, lines): hashes of the frequent lines of each row that holds some. docs needs a column row;
+    rows with the same row must be alike."""
+    lines = F.array_distinct(F.transform(_lines(F.col("text")), _line_hash))
+    held = docs.select("row", F.col("source").alias("host"), F.explode(lines).alias("line"))
     found = frequent_lines(docs, rules)
     joined = held.join(found, held["host"].eqNullSafe(found["host"]) & (held["line"] == found["line"]), "left_semi")
-    return joined.groupBy("row").agg(F.collect_set("line").alias("lines"), F.sum("chars").alias("removed_chars"), F.count("*").alias("n_removed"))
+    return joined.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
-def quality(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
-    """docs with the measures, base_failed, n_removed_lines, removed_share, kept and clean_text.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "removed_share", "kept", "clean_text")
 
-    clean_text is the text without its boilerplate lines. doc_id must tell rows apart.
-    """
+
+def quality(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
+    """docs (doc_id, text, source) with the measures, base_failed, n_removed_lines, removed_share, kept
+    and clean_text, which is the text without its boilerplate lines."""
     rules = rules or QualityRules()
-    found = removed_lines(docs.select(F.col("doc_id").alias("row"), "source", "text"), rules).withColumnsRenamed({"row": "_row", "lines": "_frequent"})
-    measured = text_measures(docs)
-    wide = measured.join(found, measured["doc_id"] == found["_row"], "left")
-    keep = lambda x: ~(NOT_BLANK(x) & F.array_contains(F.col("_frequent"), _line_hash(x)))
-    clean = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), keep), "\n"))
-    share = F.when(F.col("_frequent").isNull() | (F.col("word_chars") == 0), F.lit(0.0)).otherwise(F.col("removed_chars") / F.col("word_chars"))
+    docs = docs.drop(*MADE, "_m", "_row", "_frequent", "_gone")
+    # rows of one id are told apart by content; equal rows have the same lines and need no telling
+    row = F.struct(F.col("doc_id"), F.xxhash64("source", "text").alias("content"))
+    found = removed_lines(docs.select(row.alias("row"), "source", "text"), rules).withColumnsRenamed({"row": "_row", "lines": "_frequent"})
+    wide = text_measures(docs).withColumn("_at", row)
+    wide = wide.join(found, wide["_at"].eqNullSafe(found["_row"]), "left")
+    frequent = lambda x: NOT_BLANK(x) & F.array_contains(F.col("_frequent"), _line_hash(x))
+    some = F.col("_frequent").isNotNull()
+    clean = F.when(some, F.array_join(F.filter(F.split("text", "\n"), lambda x: ~frequent(x)), "\n")).otherwise(F.col("text"))
+    gone = F.when(some, F.filter(F.split("text", "\n"), frequent)).otherwise(F.array().cast("array<string>"))
+    chars = F.length(F.regexp_replace(F.array_join("_gone", ""), SPACES, ""))
+    share = F.when(F.size("_gone") > 0, chars / F.col("word_chars")).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
     return (
-        wide.withColumns({"clean_text": clean, "base_failed": failed, "n_removed_lines": F.coalesce("n_removed", F.lit(0).cast("long")), "removed_share": share})
+        wide.withColumns({"clean_text": clean, "base_failed": failed, "_gone": gone})
+        .withColumns({"n_removed_lines": F.size("_gone").cast("long"), "removed_share": share})
         .withColumn("kept", ~F.col("base_failed") & (F.col("removed_share") <= rules.max_removed_share))
-        .drop("_row", "_frequent", "removed_chars", "n_removed")
+        .drop("_row", "_at", "_frequent", "_gone")
     )
