@@ -2,18 +2,24 @@
 
 Each host's paths form a tree of segments. Segments that are numbers or hashes become a wildcard
 at once, keeping their ending; below each node, a position with more than FAN_OUT different
-segments becomes a wildcard too. Sibling branches whose labelled shares don't differ
-statistically are merged and judged on their sum. A template is rejected when the smoothed share
-of blocked pages among its labelled ones is high; the prior of a template is its host's smoothed
-share, the host's prior the share of all. Labels are the verdicts of the rules; where a rule fits,
-it decides.
+segments becomes a wildcard too. Labels are the verdicts of the rules; where a rule fits a page,
+it decides, and elsewhere the tree does.
+
+A template's evidence is its own labelled pages and, as its host may hold none, those of the same
+template on other hosts, which count as BORROW pages at most. Sibling templates whose shares of
+blocked pages don't differ statistically are merged into branches, with or without labels of their
+own, and judged on their sum. A branch's purity is smoothed towards its parent's share, that one's
+towards the host's, the host's towards the share of all. A template is rejected when its branch's
+purity is high.
 
 Paths are counted by (host, shape) first, so a host with a third of all pages is a few rows; the
 tree is built level by level on those counts.
 
 Defined results: null urls and urls without :// have an empty host and path, fit no rule and are
-judged as any other; paths deeper than MAX_DEPTH share their last level; repeated rows are judged
-each and counted each; other columns are kept out; an empty table gives no rows.
+judged as any other; what lies below level max_depth is one wildcard segment; siblings with equal
+shares are taken in order of their templates and merge; a purity exactly at the limit rejects;
+repeated rows are judged each and counted each; other columns, whatever their names, are left out;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +38,12 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 @dataclass(frozen=True)
 class TreeSettings:
-    max_depth: int = 6
+    max_depth: int = 12
     fan_out: int = 20
     #: Labelled pages that the prior counts as.
     weight: float = 5.0
+    #: Labelled pages that the same template on other hosts counts as, at most.
+    borrow: float = 20.0
     #: Siblings whose shares lie within so many standard errors are one branch.
     similar: float = 1.96
     reject: float = 0.8
@@ -79,26 +87,36 @@ def template_verdicts(pages: DataFrame, settings: TreeSettings, scratch: Scratch
         joined = nodes.join(wide, ["host", "template"], "left")
         name = F.when(F.col("variable"), F.lit("*")).otherwise(child)
         nodes = joined.withColumn("template", F.when(child.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))).drop("variable")
-    nodes = scratch.write(nodes, "nodes")
+        nodes = scratch.write(nodes, f"level-{level}")  # read twice by the next level
 
-    templates = nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)).groupBy("host", "parent", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    total = templates.agg((F.sum("blocked") / F.greatest(F.lit(1), F.sum("labelled"))).alias("p")).head()[0] or 0.0
+    templates = nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)).groupBy("host", "parent", "template").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"))
+    templates = scratch.write(templates, "templates")
+    total = templates.agg((F.sum("b") / F.greatest(F.lit(1), F.sum("m"))).alias("p")).head()[0] or 0.0
     w = settings.weight
-    hosts = templates.groupBy("host").agg(((F.sum("blocked") + w * total) / (F.sum("labelled") + w)).alias("prior"))
-    # siblings in order of their shares; a gap that is no accident begins a new branch
-    known = templates.filter("labelled > 0").withColumn("share", F.col("blocked") / F.col("labelled"))
+    smooth = lambda b, m, prior: (b + w * prior) / (m + w)
+    hosts = templates.groupBy("host").agg(smooth(F.sum("b"), F.sum("m"), total).alias("host_share"))
+    parents = templates.groupBy("host", "parent").agg(F.sum("b").alias("pb"), F.sum("m").alias("pm")).join(hosts, "host")
+    parents = parents.select("host", "parent", smooth(F.col("pb"), F.col("pm"), F.col("host_share")).alias("prior"))
+
+    everywhere = templates.groupBy("template").agg(F.sum("m").alias("all_m"), F.sum("b").alias("all_b"))
+    wide = templates.join(everywhere, "template")
+    lent = F.least(F.lit(settings.borrow), F.col("all_m") - F.col("m"))
+    known = wide.select("host", "parent", "template", "m", "b", lent.alias("lent"), (lent * (F.col("all_b") - F.col("b")) / F.greatest(F.lit(1), F.col("all_m") - F.col("m"))).alias("lent_b"))
+    known = known.select("host", "parent", "template", (F.col("m") + F.col("lent")).alias("m"), (F.col("b") + F.col("lent_b")).alias("b"))
+    # siblings in order of their shares; a gap that is no accident begins a new branch. Without any
+    # evidence a template is alone, and its parent's share decides
+    known = known.withColumn("share", F.when(F.col("m") > 0, F.col("b") / F.col("m")))
     order = Window.partitionBy("host", "parent").orderBy("share", "template")
-    b, m, s = (F.lag(x).over(order) for x in ("blocked", "labelled", "share"))
-    pooled = (F.col("blocked") + b) / (F.col("labelled") + m)
-    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / F.col("labelled") + 1 / m))
+    b, m, s = (F.lag(x).over(order) for x in ("b", "m", "share"))
+    pooled = (F.col("b") + b) / (F.col("m") + m)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / F.col("m") + 1 / m))
     fresh = F.when(s.isNull(), 1).when(F.col("share") - s > settings.similar * error, 1).otherwise(0)
     branch = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
     branches = known.withColumn("fresh", fresh).withColumn("branch", branch)
-    merged = branches.groupBy("host", "parent", "branch").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("m"))
-    placed = branches.select("host", "parent", "template", "branch").join(merged, ["host", "parent", "branch"]).select("host", "template", "b", "m")
-    judged = templates.select("host", "template").join(placed, ["host", "template"], "left").join(hosts, "host")
-    purity = (F.coalesce("b", F.lit(0)) + w * F.col("prior")) / (F.coalesce("m", F.lit(0)) + w)
-    return nodes.select("host", "shape", "template").join(judged.select("host", "template", purity.alias("purity")), ["host", "template"])
+    merged = branches.groupBy("host", "parent", "branch").agg(F.sum("b").alias("branch_b"), F.sum("m").alias("branch_m"))
+    judged = branches.join(merged, ["host", "parent", "branch"]).join(parents, ["host", "parent"])
+    judged = judged.select("host", "template", smooth(F.col("branch_b"), F.col("branch_m"), F.col("prior")).alias("purity"))
+    return nodes.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
 def filter_urls(pages: DataFrame, rules: tuple = RULES, settings: TreeSettings | None = None) -> DataFrame:
