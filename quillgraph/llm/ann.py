@@ -14,9 +14,11 @@ parameter or grows with the number of vectors. Buckets above BLOCK vectors are c
 blocks, each of which gets the bucket's probes; nothing is left out. Scores are made block by
 block, a block's vectors against its queries, and only a query's best rows leave a block.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part;
-equal scores go to the smaller vec_id; fewer candidates than asked for give all of them; a null
-vec_id takes no part; other columns are ignored.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part,
+nor do those of another length than the most frequent one (the shorter, if several are); a vec_id
+is one vector, the smallest, component by component, of repeated rows; equal scores go to the
+smaller vec_id; fewer candidates than asked for give all of them; a null vec_id takes no part;
+other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,10 +51,15 @@ class Probing:
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
+    """(vec_id, v array<double>) of the vectors that take part, one for each id."""
     v = F.col(vector).cast("array<double>")
     good = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(good).select(F.col("vec_id").cast("long"), v.alias("v"))
+    return vectors.filter(good).select(F.col("vec_id").cast("long"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def of_one_length(vectors: DataFrame) -> DataFrame:
+    most = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return vectors.filter(F.size("v") == most["n"]) if most else vectors
 
 
 class Hasher:
@@ -151,7 +158,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, probing: Probing | None =
     probing = probing or Probing()
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    usables = scratch.write(usable(vectors), "vectors")
+    usables = of_one_length(scratch.write(usable(vectors), "vectors"))
     hasher = fit(usables, probing)
     if hasher is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
