@@ -10,7 +10,9 @@ Base kinds: email, ip, card, phone. Further ones: cards and phones in usual grou
 assigned to or shortly after a secret's name), phone_local (no plus sign, context needed).
 
 Defined results: null and empty texts have no spans; places are code points, end exclusive; kinds
-may overlap and are all listed; repeated rows are treated each; other columns are kept.
+may overlap and are all listed; spans with the same start are listed in the kinds' order; texts of
+any length are read whole; repeated rows are treated each; a null doc_id is a row as any other;
+other columns are kept, but a column pii is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -174,15 +176,38 @@ def digest(detected: DataFrame) -> DataFrame:
     return detected.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
 
 
+#: Code points of a slab, from which masking takes what stands between spans.
+SLAB = 1024
+
+
 def mask(detected: DataFrame, text: str = "text") -> DataFrame:
-    """detected with every span in `text` replaced by [KIND]; overlapping spans are masked together."""
+    """detected with every span in `text` replaced by [KIND]; overlapping spans are masked together.
+
+    What stands between spans is taken from slabs of the text and gathered in blocks of spans, so
+    that the work grows with the text's length and not with its square."""
     labels = F.array(*[F.lit(f"[{x.name.upper()}]") for x in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    none = F.expr("cast(array() as array<string>)")
+
+    def between(slabs: Column, low: Column, high: Column) -> Column:
+        i, j = F.floor(low / SLAB).cast("int"), F.floor(high / SLAB).cast("int")
+        slab = lambda k: F.coalesce(F.get(slabs, k), F.lit(""))
+        one = F.substr(slab(i), low % SLAB + 1, high - low)
+        whole = F.when(j > i + 1, F.array_join(F.slice(slabs, i + 2, j - i - 1), "")).otherwise(F.lit(""))
+        more = F.concat(F.substr(slab(i), low % SLAB + 1), whole, F.substr(slab(j), F.lit(1), high % SLAB))
+        return F.when(i == j, one).otherwise(more)
+
+    def masked(slabs: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            fresh = F.concat(a["out"], F.array(F.concat(between(slabs, a["at"], x["start"]), F.get(labels, x["k"]))))
+            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+
+        def block(a: Column, first: Column) -> Column:
+            made = F.aggregate(F.slice("pii", first, F.lit(BLOCK)), F.struct(a["at"].alias("at"), none.alias("out")), step)
+            return _let(made, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["out"], F.array(F.substr(F.col(text), a["at"] + 1, x["start"] - a["at"]), F.get(labels, x["k"])))
-        out = F.when(x["start"] >= a["at"], fresh).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        rest = lambda a: F.concat(F.array_join(a["out"], ""), between(slabs, a["at"], F.greatest(a["at"], F.length(text))))
+        return F.aggregate(F.sequence(F.lit(1), F.size("pii"), F.lit(BLOCK)), start, block, rest)
 
-    masked = F.aggregate(F.col("pii"), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col(text), a["at"] + 1)))
-    return detected.withColumn(text, F.when(F.size("pii") > 0, masked).otherwise(F.col(text)))
+    slabs = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{SLAB}}}"), F.lit(0))
+    return detected.withColumn(text, F.when(F.size("pii") > 0, _let(slabs, masked)).otherwise(F.col(text)))
