@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import columns as C
 from quillgraph.operators import diffusion, evaluate, graph, linking, profile, rendering, text
+from quillgraph.registry import ORACLES, QUERIES, Query, query
 from quillgraph.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["diffusion_converged"](spark, sf_dir)
@@ -49,20 +34,6 @@ def chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return text.chunks(table(spark, sf, "documents")).drop("content")
 
 
-@query("SELECT source, md5(text) AS id, min(doc_id) AS doc_id FROM documents WHERE source <> 'src0' AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source = 'src0') GROUP BY ALL")
-def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.md5(F.encode("text", "utf-8")).alias("id"))
-    stored, new = docs.filter("source = 'src0'"), docs.filter("source <> 'src0'")
-    return new.join(stored.select("id"), "id", "left_anti").groupBy("source", "id").agg(F.min("doc_id").alias("doc_id"))
-
-
-@query("SELECT item_id, d.doc_id, d.lang FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id * 7")
-def kv_multi_get(spark: SparkSession, sf: str) -> DataFrame:
-    ids = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") * 7).alias("doc_id"))
-    found = table(spark, sf, "documents").select("doc_id", "lang")
-    return ids.join(found.withColumnRenamed("doc_id", "k"), F.col("doc_id") == F.col("k"), "left").select("item_id", F.col("k").alias("doc_id"), "lang")
-
-
 @query("SELECT doc_id, source, running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents) WHERE running <= 40000")
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
@@ -75,18 +46,6 @@ def dedupe_sources(spark: SparkSession, sf: str) -> DataFrame:
     return text.first_of_each(docs, "text_id", ["doc_id"])
 
 
-@query()
-def greedy_schema_bins(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("long").alias("tokens"))
-    return text.greedy_bins(items, "l_orderkey", "l_linenumber", "tokens", 60)
-
-
-@query()
-def example_budget(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("long").alias("tokens"))
-    return text.skipping_budget(items, "l_orderkey", "l_linenumber", "tokens", 60)
-
-
 # ---- extraction and merging
 
 
@@ -132,11 +91,11 @@ def _projection(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy(F.least("l_partkey", "p").alias("u"), F.greatest("l_partkey", "p").alias("v")).agg(F.count("*").cast("double").alias("w"))
 
 
-_DIRECTED = "SELECT l_orderkey % 1000 AS src, l_partkey % 1000 AS dst, max(l_quantity) AS weight FROM lineitem GROUP BY 1, 2"
+_DIRECTED = "SELECT l_partkey AS src, l_suppkey AS dst, max(l_quantity) AS weight FROM lineitem GROUP BY 1, 2"
 
 
 def _directed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("src"), (F.col("l_partkey") % 1000).alias("dst")).agg(F.max("l_quantity").alias("weight"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.max("l_quantity").alias("weight"))
 
 
 @query(f"WITH d AS ({_DIRECTED}) SELECT least(src, dst) AS u, greatest(src, dst) AS v, max(weight) AS w FROM d GROUP BY ALL")
@@ -239,6 +198,14 @@ def _diffusion_sql(rounds: int) -> str:
     return f"WITH {_EDGES}, {_SIM}, q AS (SELECT u, v, w * (1 + 0.5::DOUBLE * (a.s + b.s) / 2) AS w FROM e JOIN s a ON a.node = u JOIN s b ON b.node = v), adj AS (SELECT u, v, w FROM q UNION ALL SELECT v, u, w FROM q), k AS (SELECT u, count(*)::DOUBLE AS sink, sum(w) AS total FROM adj GROUP BY 1), {', '.join(steps)} SELECT seed, node, round(m, 6) AS m, round(x, 6) AS x FROM m{rounds}"
 
 
+def _flow_sql(rounds: int, alpha: float, result: str) -> str:
+    """result over the last of so many rounds, each written once."""
+    sql = _diffusion_sql(rounds).replace("50 * 1.7::DOUBLE", f"{alpha} * 1.7::DOUBLE").rsplit(" SELECT seed, node, round", 1)[0]
+    for i in range(rounds + 1):
+        sql = sql.replace(f", m{i} AS (", f", m{i} AS MATERIALIZED (")
+    return f"{sql} {result.replace('$', f'm{rounds}')}"
+
+
 def _flow_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     adj = graph.cut(graph.adjacency(diffusion.weighted(_projection(spark, sf), _similarity(spark, sf))))
     return adj, spark.createDataFrame([(i,) for i in _SEEDS], "seed long")
@@ -250,16 +217,17 @@ def diffusion_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return diffusion.diffuse(adj, seeds, rounds=3).select("seed", "node", F.round("m", 6).alias("m"), F.round("x", 6).alias("x"))
 
 
-@query()
+@query(_flow_sql(30, 5.0, "SELECT seed, node, round(m, 6) AS m, round(x, 6) AS x, sum(greatest(0, m - sink)) OVER (PARTITION BY seed) < 0.05 AS converged FROM $ JOIN k ON k.u = node"))
 def diffusion_converged(spark: SparkSession, sf: str) -> DataFrame:
     adj, seeds = _flow_graph(spark, sf)
-    return diffusion.diffuse(adj, seeds, alpha=5.0, rounds=30)
+    flow = diffusion.diffuse(adj, seeds, alpha=5.0, rounds=30, check_every=31)
+    return flow.select("seed", "node", F.round("m", 6).alias("m"), F.round("x", 6).alias("x"), "converged")
 
 
-@query()
+@query(_flow_sql(10, 50.0, "SELECT seed, count(*) AS size, round(max(x), 6) AS max_flow FROM $ WHERE x > 0 GROUP BY seed HAVING count(*) > 1 AND max(x) >= 0.1"))
 def diffusion_clusters(spark: SparkSession, sf: str) -> DataFrame:
     adj, seeds = _flow_graph(spark, sf)
-    return diffusion.clusters(diffusion.diffuse(adj, seeds, rounds=10))
+    return diffusion.clusters(diffusion.diffuse(adj, seeds, rounds=10, check_every=11)).withColumn("max_flow", F.round("max_flow", 6))
 
 
 @query()
@@ -277,12 +245,13 @@ QUERY_BLOCK = 1000
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows against the query block; the block is read in pieces of a bounded size."""
+    """All rows against the queries, in blocks of about QUERY_BLOCK by a hash of their ids, whatever
+    range the ids lie in."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = q.groupBy(F.floor(F.col("query_id") / (100 * QUERY_BLOCK)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    n = blocks.count()
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))).join(blocks, "block")
+    n = q.count() // QUERY_BLOCK + 1
+    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
     return rows.select("vec_id", "embedding", F.explode("qs").alias("x")).select("x.query_id", "vec_id", F.col("x.q").alias("q"), "embedding").filter("query_id <> vec_id")
 
 
@@ -298,10 +267,12 @@ def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, (round(greatest(0, ({_COS} + 1) / 2), 6), -b.vec_id)) AS hit FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1")
+@query(f"SELECT query_id, CASE WHEN s > 0.95 THEN hit END AS hit, round(s, 6) AS s FROM (SELECT a.vec_id AS query_id, arg_max(b.vec_id, (round({_COS}, 6), -b.vec_id)) AS hit, max(round({_COS}, 6)) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1)")
 def semantic_cache_hit(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf).withColumn("s", F.round(C.rescaled_cosine(F.col("q"), F.col("embedding")), 6))
-    return s.groupBy("query_id").agg(F.max_by("vec_id", F.struct("s", -F.col("vec_id"))).alias("hit"))
+    """The nearest stored embedding counts as a hit only above a cosine of 0.95."""
+    s = _scored(spark, sf).withColumn("s", F.round(C.cosine(F.col("q"), F.col("embedding")), 6))
+    best = s.groupBy("query_id").agg(F.max_by("vec_id", F.struct("s", -F.col("vec_id"))).alias("hit"), F.max("s").alias("s"))
+    return best.select("query_id", F.when(F.col("s") > 0.95, F.col("hit")).alias("hit"), "s")
 
 
 @query("SELECT vec_id, list_sum(list_transform(embedding::DOUBLE[], lambda x: round_even((x - list_min(embedding::DOUBLE[])) * (255 / (list_max(embedding::DOUBLE[]) - list_min(embedding::DOUBLE[]))), 0)))::BIGINT AS code_sum FROM embeddings")
@@ -364,11 +335,11 @@ _KEYS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 
 
 @query("WITH p AS (" + _profile_sql("customer", _KEYS, "count(*) AS n, count(DISTINCT $) AS d, count(*) FILTER ($ IS NULL) AS k") + """),
-s AS (SELECT "column", CASE WHEN d / n >= 0.9 AND k / n <= 0.1 THEN (CASE WHEN d = n THEN 30 WHEN d / n > 0.98 THEN 20 ELSE 0 END) + (CASE WHEN k = 0 THEN 20 ELSE 0 END) + (CASE WHEN "column" IN ('c_custkey', 'c_nationkey') THEN 15 ELSE 5 END) + (CASE WHEN "column" LIKE '%key' THEN 12 ELSE 0 END) ELSE 0 END::BIGINT AS key_score FROM p)
+s AS (SELECT "column", CASE WHEN d / n >= 0.9 AND k / n <= 0.1 THEN (CASE WHEN d = n THEN 30 WHEN d / n > 0.98 THEN 20 ELSE 0 END) + (CASE WHEN k = 0 THEN 20 ELSE 0 END) + (CASE WHEN "column" IN ('c_custkey', 'c_nationkey') THEN 15 ELSE 5 END) ELSE 0 END::BIGINT AS key_score FROM p)
 SELECT "column", key_score, key_score >= 25 AND key_score >= 0.8 * max(key_score) OVER () AS is_key FROM s""")
 def key_scores(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "customer")
-    return profile.key_scores(profile.counts(df, _KEYS), {f.name: f.dataType for f in df.schema.fields}).select("column", "key_score", "is_key")
+    return profile.key_scores(profile.counts(df, _KEYS), {f.name: f.dataType for f in df.schema.fields}, "customer").select("column", "key_score", "is_key")
 
 
 _REFS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_custkey", "nation", "n_nationkey")]
@@ -547,7 +518,4 @@ def round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.pmod("event_id", F.lit(3)).cast("long").alias("model"))
 
 
-@query("""SELECT t AS "table", count(*) AS columns, count(*) FILTER (k) AS key_columns FROM (VALUES ('nation', true), ('nation', false), ('nation', true), ('region', true), ('region', false)) x(t, k) GROUP BY 1""")
-def schema_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(t, f.name) for t in ("nation", "region") for f in table(spark, sf, t).schema.fields]
-    return spark.createDataFrame(rows, "table string, column string").groupBy("table").agg(F.count("*").alias("columns"), F.count_if(F.col("column").endswith("key")).alias("key_columns"))
+from quillgraph import queries_evaluation, queries_retrieval, queries_schema, queries_stores  # noqa: E402, F401  they register themselves

@@ -72,14 +72,14 @@ def path_score(confidence: Column, mean_flow: Column, nodes: Column) -> Column:
     return F.when(nodes < 2, F.lit(0.0)).otherwise(0.7 * confidence + 0.3 * mean_flow / (mean_flow + 1))
 
 
-def best_path(adj: DataFrame, flow: DataFrame, source, target, most: int = 50) -> DataFrame:
+def best_path(adj: DataFrame, flow: DataFrame, source, target) -> DataFrame:
     """(node, cost, path): cheapest paths from source inside the support, an edge costing
-    1 / (x_u + x_v + 1e-10), by rounds of relaxation; the row of target, if it was reached."""
+    1 / (x_u + x_v + 1e-10), by rounds of relaxation until no path gets cheaper; the row of target, if it was reached."""
     x = flow.filter("x > 0").select("node", "x")
     a, b = x.select(F.col("node").alias("u"), F.col("x").alias("xu")), x.select(F.col("node").alias("v"), F.col("x").alias("xv"))
     edges = cut(adj.join(a, "u").join(b, "v").select("u", "v", (1 / (F.col("xu") + F.col("xv") + 1e-10)).alias("c")))
     best = cut(x.filter(F.col("node") == source).select("node", F.lit(0.0).alias("cost"), F.array("node").alias("path")))
-    for _ in range(most):
+    while True:
         step = best.join(edges, best["node"] == edges["u"]).select(F.col("v").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.concat("path", F.array("v")).alias("path"))
         new = cut(best.union(step).groupBy("node").agg(F.min(F.struct("cost", "path")).alias("p")).select("node", "p.cost", "p.path"))
         if new.join(best, ["node", "cost"], "left_anti").isEmpty():

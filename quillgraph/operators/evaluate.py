@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,22 +34,29 @@ def column_digests(df: DataFrame) -> list[tuple]:
 
 
 def equal_under_permutation(a: DataFrame, b: DataFrame, most: int = 5040) -> bool | None:
-    """Equal bags for some order of b's columns; None if more orders fit the columns' digests than `most`."""
+    """Equal bags for some order of b's columns; None if `most` orders that fit were compared in vain.
+
+    Only columns with equal digests can stand for one another, so orders are built column by column."""
     if len(a.columns) != len(b.columns):
         return False
     da, db = column_digests(a), column_digests(b)
     if sorted(map(str, da)) != sorted(map(str, db)):
         return False
-    fits = [[j for j, y in enumerate(db) if y == x] for x in da]
-    tried = 0
     named = a.toDF(*[f"c{i}" for i in range(len(da))])
-    for order in permutations(range(len(db))):
-        if all(j in f for j, f in zip(order, fits, strict=True)):
-            tried += 1
-            if tried > most:
-                return None
-            if equal_as_bags(named, b.select(*[F.col(f"`{b.columns[j]}`").alias(f"c{i}") for i, j in enumerate(order)])):
-                return True
+
+    def orders(taken: tuple[int, ...]):
+        if len(taken) == len(da):
+            yield taken
+            return
+        for j, y in enumerate(db):
+            if j not in taken and y == da[len(taken)]:
+                yield from orders((*taken, j))
+
+    for tried, order in enumerate(orders(())):
+        if tried >= most:
+            return None
+        if equal_as_bags(named, b.select(*[F.col(f"`{b.columns[j]}`").alias(f"c{i}") for i, j in enumerate(order)])):
+            return True
     return False
 
 
@@ -116,3 +121,94 @@ def tables_of(spark: SparkSession, sql: str) -> list[str]:
     for m in re.finditer(r"CTE \[([^\]]+)\]", plan.toString()):
         ctes |= set(m[1].split(", "))
     return sorted(found - ctes)
+
+
+def frame_cells(df: DataFrame, digits: int = 2):
+    """Values as text for comparing columns: numbers rounded, whole ones without a fraction."""
+    from pyspark.sql import types as T
+
+    def cell(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.NumericType,)):
+            x = F.round(c.cast("double"), digits)
+            return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+        return F.coalesce(c.cast("string"), F.lit("\x00"))
+
+    return [F.coalesce(cell(f), F.lit("\x00")) for f in df.schema.fields]
+
+
+def cell_digests(df: DataFrame) -> list[tuple]:
+    cells = df.select(*[c.alias(f"c{i}") for i, c in enumerate(frame_cells(df))])
+    return column_digests(cells)
+
+
+def contains_columns(have: DataFrame, need: DataFrame) -> bool:
+    """Each of need's columns equals, as a bag of rounded values, a column of have that no other took."""
+    left = list(cell_digests(have))
+    for d in cell_digests(need):
+        if d not in left:
+            return False
+        left.remove(d)
+    return True
+
+
+def equal_frames(a: DataFrame, b: DataFrame) -> bool:
+    """As many columns, and each one's bag of values is one of the other's."""
+    return len(a.columns) == len(b.columns) and contains_columns(a, b)
+
+
+def judged(spark: SparkSession, predicted: str, correct: str) -> str:
+    """'--' where both queries give the same set of rows, else what went wrong."""
+    status, digest = run_sql(spark, predicted)
+    if status == "ERROR":
+        return "error"
+    return "--" if (status, digest) == run_sql(spark, correct) else "incorrect answer"
+
+
+def validate(spark: SparkSession, sql: str, rows: int = 30) -> tuple[str, list]:
+    """OK and at most so many rows, or ERROR and the message's first line."""
+    try:
+        return "OK", spark.sql(sql).limit(rows).collect()
+    except PySparkException as e:
+        return "ERROR", [str(e).splitlines()[0]]
+
+
+def formatted(df: DataFrame, most: int = 20) -> str:
+    """Rows and columns of a result and its first rows."""
+    return f"Rows: {df.count()}, Columns: {len(df.columns)}, Results: {[tuple(r) for r in df.limit(most).collect()]}"
+
+
+def final_sql(steps: DataFrame) -> DataFrame:
+    """(qid, sql): of steps (qid, step, sql, status) the last executable one, else the first."""
+    ok = F.max(F.when(F.col("status") == "CORRECT", F.struct("step", "sql")))["sql"]
+    return steps.groupBy("qid").agg(F.coalesce(ok, F.min(F.struct("step", "sql"))["sql"]).alias("sql"))
+
+
+def revisions(steps: DataFrame) -> DataFrame:
+    """(qid, step, name, status): steps in chained names, from the one that needs a revision on."""
+    name = F.when(F.col("step") == 0, F.lit("candidate")).otherwise(F.concat(F.lit("revise_"), F.col("step").cast("string")))
+    bad = F.min(F.when(F.col("status") != "CORRECT", F.col("step"))).over(Window.partitionBy("qid"))
+    return steps.withColumn("bad", bad).filter(F.col("step") >= F.col("bad")).select("qid", "step", name.alias("name"), "status")
+
+
+def majority(candidates: DataFrame) -> DataFrame:
+    """(qid, idx, votes, share): the first member of the largest cluster of equal results, ties to the
+    cluster met first; share of all candidates that agree."""
+    size = candidates.groupBy("qid", "result").agg(F.count("*").alias("votes"), F.min("idx").alias("idx"))
+    n = candidates.groupBy("qid").agg(F.count("*").alias("n"))
+    top = size.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("votes"), "idx"))).filter("r = 1")
+    return top.join(n, "qid").select("qid", "idx", "votes", F.round(F.col("votes") / F.col("n"), 6).alias("share"))
+
+
+def tests_needed(candidates: DataFrame) -> DataFrame:
+    """(qid, clusters, needed): tests tell candidates apart only where results differ."""
+    return candidates.groupBy("qid").agg(F.count_distinct("result").alias("clusters")).withColumn("needed", F.col("clusters") > 1)
+
+
+def candidate_pool(generators: list[DataFrame]) -> DataFrame:
+    """(qid, idx, sql) of all generators' candidates (qid, idx, sql), numbered anew in the generators' order."""
+    out = None
+    for k, g in enumerate(generators):
+        part = g.select("qid", F.struct(F.lit(k), "idx").alias("at"), "sql")
+        out = part if out is None else out.union(part)
+    return out.select("qid", (F.row_number().over(Window.partitionBy("qid").orderBy("at", "sql")) - 1).alias("idx"), "sql")

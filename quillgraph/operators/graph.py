@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,17 +65,17 @@ def drop_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[Dat
     return nodes.join(gone, "node", "left_anti"), left
 
 
-def bfs(adj: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, depth) of nodes reachable from sources (node)."""
+def bfs(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, depth) of nodes reachable from sources (node), a round for each level."""
     seen = cut(sources.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most + 1):
+    for depth in count(1):
         front = seen.filter(F.col("depth") == depth - 1)
         new = adj.join(front, adj["u"] == front["node"]).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
         new = cut(new)
         if new.isEmpty():
             return seen
         seen = cut(seen.union(new))
-    return seen
+    raise AssertionError("levels end")
 
 
 def components(adj: DataFrame) -> DataFrame:
@@ -108,6 +110,27 @@ def pagerank(adj: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFra
     return rank
 
 
+def pagerank_until(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
+    """(node, rank) of directed weighted edges (src, dst, weight): nodes without a way out give to all alike;
+    rounds until the ranks' total change is below the number of nodes times the tolerance."""
+    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("rank", F.lit(0.0))
+    total = edges.groupBy("src").agg(F.sum("weight").alias("t"))
+    step = cut(edges.join(total, "src").filter("t > 0").select("src", "dst", (F.col("weight") / F.col("t")).alias("p")))
+    out = step.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True))
+    rank = cut(nodes.join(out, "node", "left").select("node", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("change")))
+    for _ in range(most):
+        lost = rank.agg(F.sum(F.when(~F.col("out"), F.col("rank")))).head()[0] or 0.0
+        got = step.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("x"))
+        new = F.lit((1 - damping + damping * lost) / n) + damping * F.coalesce("x", F.lit(0.0))
+        rank = cut(rank.drop("change").join(got, "node", "left").select("node", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        if rank.agg(F.sum("change")).head()[0] < n * tolerance:
+            return rank.select("node", "rank")
+    raise RuntimeError("ranks didn't settle")
+
+
 def strongest_neighbours(adj: DataFrame, k: int) -> DataFrame:
     from pyspark.sql.window import Window
 

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Name patterns of key columns and their scores; the first that matches counts. Fixed values.
-KEY_NAMES = ((r"^id$", 15), (r"_id$", 12), (r"key$", 12), (r"^pk_", 12), (r"^uuid$", 12), (r"_uuid$", 10), (r"code$", 8), (r"number$", 6), (r"_no$", 6))
+#: Name patterns of key columns, {} being the table's name, and their scores; the first that is
+#: found in the upper-cased name counts. Fixed values.
+KEY_NAMES = (
+    ("^ID$", 15), ("^{}_ID$", 15), ("^{}_KEY$", 15), ("^PK_", 15), ("^KEY$", 10), ("^CODE$", 8), ("^UUID$", 15), ("^GUID$", 15), ("^SERIAL$", 15), ("^SEQ", 10), ("ID$", 5),
+    ("UUID$", 10), ("CODE$", 5), ("NUM$", 5), ("NO$", 5), ("^RECORD", 8), ("^PID$", 15), ("^MID$", 15), ("^UID$", 15), ("^EID$", 15), ("^[A-Z]+ID$", 10), ("^[A-Z]+_ID$", 10),
+)
+#: Name patterns of references, {table} and {column} being the key's. Fixed values.
+REFERENCE_NAMES = ("^{table}_{column}$", "^{table}{column}$", "^{table}_ID$", "^{table}ID$", "^{table}_KEY$", "^FK_{table}_", "^{column}$")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -64,31 +70,57 @@ def categorical(df: DataFrame, columns: list[str], below: int = 20) -> DataFrame
     return _per_column(df, columns, lambda c: [(F.count_distinct(c) < below).alias("is_categorical")])
 
 
-def key_scores(profile: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
-    """profile (counts) with key_score and is_key: unique and complete enough columns, near the best score."""
+def name_score(column, table) -> Column:
+    """The score of the first key name pattern that fits the upper-cased column name."""
+    score = F.lit(0)
+    for pattern, points in reversed(KEY_NAMES):
+        before, found, after = pattern.partition("{}")
+        regex = F.concat(F.lit("(?i)" + before + "\\Q"), F.upper(table), F.lit("\\E" + after)) if found else F.lit("(?i)" + pattern)
+        score = F.when(F.regexp_like(F.upper(column), regex), points).otherwise(score)
+    return score
+
+
+def key_scores(profile: DataFrame, types: dict[str, T.DataType], table: str = "", defaults: dict[str, str] | None = None) -> DataFrame:
+    """profile (counts) with key_score and is_key: unique and complete enough columns, near the best
+    score. defaults: the columns' default expressions, of which a sequence's next value speaks for a key."""
     whole = [c for c, t in types.items() if isinstance(t, T.IntegralType)]
     texts = [c for c, t in types.items() if isinstance(t, T.StringType)]
+    counted = [c for c, d in (defaults or {}).items() if "NEXTVAL" in str(d).upper()]
     ratio = F.col("distinct_count") / F.greatest(F.lit(1), F.col("row_count"))
     nulls = F.col("null_count") / F.greatest(F.lit(1), F.col("row_count"))
-    name = F.lit(0)
-    for pattern, score in reversed(KEY_NAMES):
-        name = F.when(F.lower("column").rlike(pattern), score).otherwise(name)
-    score = F.when(ratio == 1, 30).when(ratio > 0.98, 20).otherwise(0) + F.when(F.col("null_count") == 0, 20).otherwise(0) + F.when(F.col("column").isin(whole), 15).when(F.col("column").isin(texts), 5).otherwise(0) + name
+    score = F.when(ratio == 1, 30).when(ratio > 0.98, 20).otherwise(0) + F.when(F.col("null_count") == 0, 20).otherwise(0) + F.when(F.col("column").isin(whole), 15).when(F.col("column").isin(texts), 5).otherwise(0)
+    score = score + name_score(F.col("column"), F.lit(table)) + F.when(F.col("column").isin(counted), 15).otherwise(0)
     fit = (ratio >= 0.9) & (nulls <= 0.1) & (F.col("row_count") > 0)
     scored = profile.withColumn("key_score", F.when(fit, score).otherwise(F.lit(0)).cast("long"))
     best = F.max("key_score").over(Window.partitionBy())
     return scored.withColumn("is_key", (F.col("key_score") >= 25) & (F.col("key_score") >= 0.8 * best))
 
 
+def reference_names(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """columns (table, column, type) against keys (ref_table, ref_column, ref_type) of other tables whose
+    name they bear: confidence low where types differ, else medium. Both are schema rows, keys the few
+    columns that are keys; a column name can only fit patterns of a key it holds, so they meet by block."""
+    fits = F.lit(False)
+    for pattern in REFERENCE_NAMES:
+        parts = pattern.replace("{table}", "\0t\0").replace("{column}", "\0c\0").split("\0")
+        regex = F.concat(F.lit("(?i)"), *[F.concat(F.lit("\\Q"), F.upper("ref_table" if x == "t" else "ref_column"), F.lit("\\E")) if x in ("t", "c") else F.lit(x) for x in parts])
+        fits = fits | F.regexp_like(F.upper("column"), regex)
+    pairs = columns.join(keys, (F.col("table") != F.col("ref_table")) & fits)
+    confidence = F.when(F.upper("type") != F.upper("ref_type"), "low").otherwise("medium")
+    return pairs.select("table", "column", "ref_table", "ref_column", confidence.alias("confidence"))
+
+
 def foreign_key(src: DataFrame, src_column: str, ref: DataFrame, ref_column: str) -> DataFrame:
-    """orphans, coverage, confidence of src_column as a reference to ref_column, on values exactly."""
+    """orphans, coverage, confidence of src_column as a reference to ref_column, on values exactly;
+    columns of different types are none."""
+    same = F.lit(src.schema[src_column].dataType == ref.schema[ref_column].dataType)
     a = src.select(F.col(src_column).cast("string").alias("v")).filter("v is not null").distinct()
     b = ref.select(F.col(ref_column).cast("string").alias("v")).filter("v is not null").distinct().withColumn("there", F.lit(1))
     # one full join gives both sizes and the orphans
     both = a.withColumn("here", F.lit(1)).join(b, "v", "full_outer")
     out = both.agg(F.count("here").alias("n_src"), F.count("there").alias("n_ref"), F.count_if(F.col("here").isNotNull() & F.col("there").isNull()).alias("orphans"))
     coverage = F.round(F.col("n_src") / F.greatest(F.lit(1), F.col("n_ref")), 4)
-    out = out.withColumn("coverage", coverage).withColumn("accepted", (F.col("orphans") == 0) & (F.col("coverage") > 0.01))
+    out = out.withColumn("coverage", coverage).withColumn("accepted", same & (F.col("orphans") == 0) & (F.col("coverage") > 0.01))
     confidence = F.when(F.col("accepted") & (F.col("coverage") > 0.3), "high").when(F.col("accepted"), "medium").otherwise("none")
     return out.select(F.lit(src_column).alias("src_column"), F.lit(ref_column).alias("ref_column"), "orphans", "coverage", confidence.alias("confidence"))
 

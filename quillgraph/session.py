@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where the cluster names none (tests), one of our own is set."""
+    """The folder all executors share. Where the session names none and is local (tests), one of our own
+    is set; on a cluster a local folder would be another one on each machine, so there it must be named."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,6 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return at
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillgraph-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
