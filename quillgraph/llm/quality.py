@@ -123,13 +123,16 @@ def frequent_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """(row, lines): hashes of the frequent lines of each row that holds some. docs needs a column row;
-    rows with the same row must be alike."""
-    lines = F.array_distinct(F.transform(_lines(F.col("text")), _line_hash))
-    held = docs.select("row", F.col("source").alias("host"), F.explode(lines).alias("line"))
+    """(row, lines, removed_chars, n_removed): hashes of the frequent lines of each row that holds some,
+    their word characters and how many they are. docs needs a column row; rows with the same row must be
+    alike, and a line counts once for each of its places."""
+    measured = F.transform(_lines(F.col("text")), lambda x: F.struct(_line_hash(x).alias("line"), F.length(F.regexp_replace(x, SPACES, "")).alias("chars")))
+    held = docs.select("row", F.col("source").alias("host"), F.posexplode(measured).alias("place", "x")).select("row", "host", "place", "x.line", "x.chars")
     found = frequent_lines(docs, rules)
     joined = held.join(found, held["host"].eqNullSafe(found["host"]) & (held["line"] == found["line"]), "left_semi")
-    return joined.groupBy("row").agg(F.collect_set("line").alias("lines"))
+    gone = joined.groupBy("row").agg(F.collect_set(F.struct("place", "line", "chars")).alias("gone"))
+    chars = F.aggregate("gone.chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    return gone.select("row", F.array_distinct("gone.line").alias("lines"), chars.alias("removed_chars"), F.size("gone").cast("long").alias("n_removed"))
 
 
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "removed_share", "kept", "clean_text")
@@ -139,22 +142,20 @@ def quality(docs: DataFrame, rules: QualityRules | None = None) -> DataFrame:
     """docs (doc_id, text, source) with the measures, base_failed, n_removed_lines, removed_share, kept
     and clean_text, which is the text without its boilerplate lines."""
     rules = rules or QualityRules()
-    docs = docs.drop(*MADE, "_m", "_row", "_frequent", "_gone")
+    docs = docs.drop(*MADE, "_m", "_at", "_row", "_frequent", "_chars", "_n")
     # rows of one id are told apart by content; equal rows have the same lines and need no telling
     row = F.struct(F.col("doc_id"), F.xxhash64("source", "text").alias("content"))
-    found = removed_lines(docs.select(row.alias("row"), "source", "text"), rules).withColumnsRenamed({"row": "_row", "lines": "_frequent"})
+    names = {"row": "_row", "lines": "_frequent", "removed_chars": "_chars", "n_removed": "_n"}
+    found = removed_lines(docs.select(row.alias("row"), "source", "text"), rules).withColumnsRenamed(names)
     wide = text_measures(docs).withColumn("_at", row)
     wide = wide.join(found, wide["_at"].eqNullSafe(found["_row"]), "left")
-    frequent = lambda x: NOT_BLANK(x) & F.array_contains(F.col("_frequent"), _line_hash(x))
+    keep = lambda x: ~(NOT_BLANK(x) & F.array_contains(F.col("_frequent"), _line_hash(x)))
     some = F.col("_frequent").isNotNull()
-    clean = F.when(some, F.array_join(F.filter(F.split("text", "\n"), lambda x: ~frequent(x)), "\n")).otherwise(F.col("text"))
-    gone = F.when(some, F.filter(F.split("text", "\n"), frequent)).otherwise(F.array().cast("array<string>"))
-    chars = F.length(F.regexp_replace(F.array_join("_gone", ""), SPACES, ""))
-    share = F.when(F.size("_gone") > 0, chars / F.col("word_chars")).otherwise(F.lit(0.0))
+    clean = F.when(some, F.array_join(F.filter(F.split("text", "\n"), keep), "\n")).otherwise(F.col("text"))
+    share = F.when(some, F.col("_chars") / F.col("word_chars")).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
     return (
-        wide.withColumns({"clean_text": clean, "base_failed": failed, "_gone": gone})
-        .withColumns({"n_removed_lines": F.size("_gone").cast("long"), "removed_share": share})
+        wide.withColumns({"clean_text": clean, "base_failed": failed, "n_removed_lines": F.coalesce("_n", F.lit(0).cast("long")), "removed_share": share})
         .withColumn("kept", ~F.col("base_failed") & (F.col("removed_share") <= rules.max_removed_share))
-        .drop("_row", "_at", "_frequent", "_gone")
+        .drop("_row", "_at", "_frequent", "_chars", "_n")
     )
