@@ -407,11 +407,6 @@ def sequence_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return linking.sequence_ratio(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type")
 
 
-@query("SELECT n_name AS name, CASE WHEN regexp_full_match(n_name, '[A-Z_][A-Z0-9_]*') THEN n_name ELSE '\"' || replace(n_name, '\"', '\"\"') || '\"' END AS quoted FROM nation")
-def quote_identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").select(F.col("n_name").alias("name"), C.quote_identifier(F.col("n_name")).alias("quoted"))
-
-
 # ---- evaluation: candidates are events of a user, their results the event type
 
 
@@ -518,4 +513,4 @@ def round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.pmod("event_id", F.lit(3)).cast("long").alias("model"))
 
 
-from quillgraph import queries_evaluation, queries_retrieval, queries_schema, queries_stores  # noqa: E402, F401  they register themselves
+from quillgraph import queries_evaluation, queries_linking, queries_retrieval, queries_schema, queries_stores  # noqa: E402, F401  they register themselves

@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words that can't stand as names without quotes. Fixed values.
+RESERVED = (
+    "account", "all", "alter", "and", "any", "as", "asc", "between", "by", "case", "cast", "check", "column", "connect", "connection", "constraint",
+    "create", "cross", "current", "database", "delete", "desc", "distinct", "drop", "else", "end", "except", "exists", "false", "following", "for", "from",
+    "full", "grant", "group", "having", "ilike", "in", "increment", "inner", "insert", "intersect", "into", "is", "issue", "join", "lateral", "left", "like",
+    "localtime", "localtimestamp", "minus", "natural", "not", "null", "of", "on", "or", "order", "organization", "qualify", "regexp", "revoke", "right",
+    "rlike", "row", "rows", "sample", "schema", "select", "set", "some", "start", "table", "tablesample", "then", "to", "trigger", "true", "try_cast",
+    "union", "unique", "update", "using", "values", "view", "when", "whenever", "where", "with",
+)
+#: Signs that need quotes in a name. Fixed values.
+NAME_SIGNS = r"""[-+*/()\[\] .&|!@#$^~`=<>?,;:'"%]"""
+
 
 def content_id(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix), F.md5(F.encode(text, "utf-8")))
@@ -65,8 +77,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def quote_identifier(name: Column) -> Column:
-    """Quoted where it has signs, starts with a digit or isn't upper case; quotes inside are doubled."""
-    odd = ~name.rlike("^[A-Z_][A-Z0-9_]*$")
+    """Quoted where it has signs, starts with a digit, isn't upper case or is reserved; quotes inside are doubled."""
+    odd = (name == "") | name.rlike(NAME_SIGNS) | name.rlike(r"^\p{Nd}") | (name != F.upper(name)) | F.lower(name).isin(*RESERVED)
     return F.when(odd, F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(name)
 
 
@@ -76,11 +88,16 @@ def column_value(text: Column) -> tuple[Column, Column]:
     return F.when(at > 0, F.trim(F.substring(text, F.lit(1), at - 1))).otherwise(text), F.when(at > 0, F.trim(F.substr(text, at + 1)))
 
 
-def expansions(text: Column) -> Column:
+def pieces(text: Column) -> Column:
     """The text and, at each space, what stands before and after it."""
     words = F.split(text, " ")
     cut = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array(F.array_join(F.slice(words, F.lit(1), i), " "), F.array_join(F.slice(words, i + 1, F.size(words) - i), " ")))
-    return F.array_distinct(F.when(F.size(words) > 1, F.concat(F.array(text), F.flatten(cut))).otherwise(F.array(text)))
+    return F.when(F.size(words) > 1, F.concat(F.array(text), F.flatten(cut))).otherwise(F.array(text))
+
+
+def expansions(text: Column) -> Column:
+    """The distinct pieces of a text."""
+    return F.array_distinct(pieces(text))
 
 
 def clean_sql(text: Column) -> Column:

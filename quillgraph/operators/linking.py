@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.columns import jaccard, ngrams
+from quillgraph.functions.columns import column_value, jaccard, ngrams, pieces
+from quillgraph.operators.sql_text import parenthesis_spans
 
 
 def question_ngrams(questions: DataFrame, most: int = 5) -> DataFrame:
@@ -81,8 +82,54 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def indexable_columns(profile: DataFrame) -> DataFrame:
-    """profile (column, distinct_count, total_length, avg_length): text columns worth a value index."""
-    named = F.col("column").contains("name") & (F.col("total_length") < 5_000_000)
+    """profile (column, type, is_key, distinct_count, total_length, avg_length, of distinct values): text
+    columns worth a value index."""
+    name = F.lower("column")
+    named = name.contains("name") & (F.col("total_length") < 5_000_000)
     small = (F.col("total_length") < 2_000_000) & (F.col("avg_length") < 25)
-    skipped = F.lower("column").rlike(r"(_ref|_id| id|url|email|web|time|phone|date|address)")
-    return profile.filter(~skipped & (named | small | (F.col("distinct_count") < 100)))
+    skipped = name.rlike("(_ref|_id| id|url|email|web|time|phone|date|address)") | F.col("column").endswith("Id")
+    text = F.lower("type").rlike("text|char") & ~F.col("is_key") & (F.col("distinct_count") > 0)
+    return profile.filter(text & ~skipped & (named | small | (F.col("distinct_count") < 100)))
+
+
+def search_values(keywords: DataFrame) -> DataFrame:
+    """(question, keyword) as question, keyword, piece, place: each keyword, its parts at every space and
+    the value behind its equals sign, longest first within a keyword; repeated pieces stay."""
+    k = keywords.select("question", F.regexp_replace("keyword", r"^\s+|\s+$", "").alias("keyword"))
+    value = column_value(F.col("keyword"))[1]
+    found = F.when(value != "", F.concat(pieces(F.col("keyword")), F.array(value))).otherwise(pieces(F.col("keyword")))
+    order = Window.partitionBy("question").orderBy(F.desc("keyword"), F.desc(F.length("piece")), F.desc("piece"))
+    return k.select("question", "keyword", F.explode(found).alias("piece")).withColumn("place", F.row_number().over(order))
+
+
+def possible_names(keywords: DataFrame) -> DataFrame:
+    """(question, keyword) as question, name: what may name a column in it, which is the keyword, what
+    stands before an equals sign, what stands in parentheses, and each word."""
+    k = keywords.select("question", F.regexp_replace("keyword", r"^\s+|\s+$", "").alias("keyword"))
+    before = F.when(F.contains("keyword", F.lit("=")), column_value(F.col("keyword"))[0])
+    words = F.when(F.contains("keyword", F.lit(" ")), F.split("keyword", r"\s+")).otherwise(F.array().cast("array<string>"))
+    names = k.select("question", F.explode(F.concat(F.array("keyword", before), words)).alias("name"))
+    spans = parenthesis_spans(k, "keyword").select("question", "keyword", F.explode("spans").alias("s")).select("question", F.substring("keyword", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("name"))
+    return names.filter("name <> ''").union(spans).distinct()
+
+
+def matching_columns(names: DataFrame, columns: DataFrame, least: float = 0.9) -> DataFrame:
+    """(question, name) and (table, column) as question, name, table, column, ratio: columns spelt almost
+    like a name, apart from case, spaces, underscores and an ending s. Only names that share one of the
+    first characters, in a common order, that a match must share meet, so no pair is lost."""
+
+    def plain(c: str):
+        return F.regexp_replace(F.regexp_replace(F.lower(c), "[ _]", ""), "s+$", "")
+
+    def prefix(c: str):
+        letters = F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+        numbered = F.transform(letters, lambda x, i: F.struct(F.xxhash64(x).alias("h"), x.alias("x"), F.size(F.filter(F.slice(letters, F.lit(1), i), lambda y: y == x)).alias("k")))
+        most = F.size(letters) - F.ceil(F.lit(least / (2 - least) - 1e-9) * F.size(letters)).cast("int") + 1
+        return F.when(F.size(letters) > 0, F.slice(F.sort_array(numbered), F.lit(1), most)).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit("").alias("x"), F.lit(0).alias("k"))))
+
+    a = names.select("question", "name", plain("name").alias("n")).filter("n is not null").distinct()
+    b = columns.select("table", "column", plain("column").alias("c")).filter("c is not null").distinct()
+    met = a.select("n").distinct().select("n", F.explode(prefix("n")).alias("p")).join(b.select("c").distinct().select("c", F.explode(prefix("c")).alias("p")), "p")
+    able = 2 * F.least(F.length("n"), F.length("c")) + 1e-9 >= least * (F.length("n") + F.length("c"))
+    like = sequence_ratio(met.filter(able).select("n", "c").distinct(), "c", "n").filter(F.col("ratio") >= least)
+    return like.join(a, "n").join(b, "c").select("question", "name", "table", "column", "ratio")

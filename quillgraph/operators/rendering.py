@@ -67,3 +67,19 @@ def length_histogram(rows: DataFrame, length: str, bins: int = 20) -> DataFrame:
     ends = rows.agg(F.min(length).alias("lo"), F.max(length).alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins), F.floor((F.col(length) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))) + 1)).otherwise(F.lit(1))
     return rows.select(length).join(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))  # ends is one row
+
+
+def line_widths(edges: DataFrame, thin: float = 0.5, thick: float = 4.0) -> DataFrame:
+    """edges with width: their weights stretched between thin and thick; 1 where all are equal, thin
+    where a weight isn't positive and finite."""
+    usable = (F.col("weight") > 0) & (F.col("weight") < float("inf"))
+    held = edges.filter(usable)
+    low, high = held.agg(F.min("weight").alias("x")).scalar(), held.agg(F.max("weight").alias("x")).scalar()
+    stretched = F.when(high > low, thin + (thick - thin) * (F.col("weight") - low) / (high - low)).otherwise(F.lit(1.0))
+    return edges.withColumn("width", F.when(usable, stretched).otherwise(F.lit(thin)))
+
+
+def alternating_roles(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """messages with role: user and assistant in turns, by order within each key."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return messages.withColumn("role", F.when(n % 2 == 1, F.lit("user")).otherwise(F.lit("assistant")))

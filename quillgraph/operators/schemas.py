@@ -6,6 +6,7 @@ but every operator is a join or an aggregate and doesn't depend on that.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -290,3 +291,35 @@ def function_summaries(names: DataFrame, functions: DataFrame, otherwise: str =
     keys = functions.select(F.col("name").alias("key"), "summary", F.lit(0).alias("p")).union(functions.select(F.concat_ws("/", "category", "name"), "summary", F.lit(1)))
     one = keys.groupBy("key").agg(F.min_by("summary", F.struct("p", "summary")).alias("summary"))
     return names.join(one.withColumnRenamed("key", "name"), "name", "left").withColumn("summary", F.coalesce("summary", F.lit(otherwise)))
+
+
+def database_stats(schema: DataFrame) -> DataFrame:
+    """(db, table, column) as one row: n_dbs, and the mean over them of tables, columns and columns a table."""
+    tables = schema.groupBy("db", "table").agg(F.count_distinct("column").alias("columns"))
+    dbs = tables.groupBy("db").agg(F.count("*").alias("tables"), F.sum("columns").alias("columns"))
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 2)
+    return dbs.agg(F.count("*").alias("n_dbs"), mean("tables").alias("tables"), mean("columns").alias("columns"), mean(F.col("columns") / F.col("tables")).alias("columns_per_table"))
+
+
+def reference_classes(references: DataFrame) -> DataFrame:
+    """(db, pos, key, ref_key) as db, key, head: keys that references connect, and the smallest of them.
+
+    References are taken by pos: each joins the first class that holds one of its keys, so two classes
+    that a later reference connects stay apart, and a key in both is told by the later class. A
+    schema's references are one group; they are as many as its declared keys.
+    """
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        classes, first = [], {}
+        for a, b in g.sort_values(["pos", "key", "ref_key"])[["key", "ref_key"]].itertuples(index=False):
+            at = min(first.get(a, len(classes)), first.get(b, len(classes)))
+            if at == len(classes):
+                classes.append(set())
+            classes[at] |= {a, b}
+            first[a] = first[b] = at
+        heads = {k: min(c) for c in classes for k in c}
+        return pd.DataFrame({"db": g["db"].iloc[0], "key": list(heads), "head": list(heads.values())})
+
+    kind = references.schema["key"].dataType.simpleString()
+    named = references.select("db", "pos", "key", "ref_key").dropna(subset=["key", "ref_key"])
+    return named.groupBy("db").applyInPandas(work, f"db {references.schema['db'].dataType.simpleString()}, key {kind}, head {kind}")

@@ -173,3 +173,74 @@ def test_cluster_text(spark, mode):
     text = retrieval.cluster_text(members, edges, nodes, mode).head()["text"]
     assert text == ("- 5 (t): five\n- 6 (UNKNOWN): \n5 -> 6 (1.50)" if mode == "full" else "5\n6")
     assert retrieval.cluster_json(members, edges, nodes).head()["json"] == '{"nodes":[{"id":5,"type":"t","flow":0.9},{"id":6,"flow":0.5}],"edges":[{"src":5,"dst":6,"w":1.5}]}'
+
+
+def test_names_that_need_quotes(spark):
+    from quillgraph.functions import columns as C
+
+    want = {"ORDER": '"ORDER"', "A_1": "A_1", "9A": '"9A"', "a": '"a"', "": '""', 'A"B': '"A""B"', "A$": '"A$"', "{X}": "{X}", "TRY_CAST": '"TRY_CAST"'}
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    assert dict(df.select("s", C.quote_identifier(F.col("s"))).collect()) == want
+
+
+def test_columns_spelt_almost_alike_equal_brute_force(spark):
+    import difflib
+    import itertools
+    import random
+
+    from quillgraph.operators import linking
+
+    rng = random.Random(4)
+    stems = ["customer name", "order_key", "ship dates", "part", "s", "", "a_b", "total price of line"]
+    spoilt = [w[:i] + rng.choice("abs_ x") + w[i + 1 :] for w in stems for i in (rng.randrange(max(1, len(w))) for _ in range(6))]
+    names, columns = stems + spoilt[::2], stems + spoilt[1::2]
+    plain = lambda x: x.lower().replace(" ", "").replace("_", "").rstrip("s")
+    want = {(a, b) for a, b in itertools.product(names, columns) if difflib.SequenceMatcher(None, plain(b), plain(a)).ratio() >= 0.9}
+    n = spark.createDataFrame([(1, x) for x in names] + [(1, None)], "question int, name string")
+    c = spark.createDataFrame([("t", x) for x in columns] + [("t", None)], "table string, column string")
+    got = linking.matching_columns(n, c)
+    assert {(r["name"], r["column"]) for r in got.collect()} == want and len(want) > 10 and got.count() == len(want)
+    k = spark.createDataFrame([(1, " size = (a (b) c) d ")], "question int, keyword string")
+    assert {r["name"] for r in linking.possible_names(k).collect()} == {"size = (a (b) c) d", "size", "=", "(a", "(b)", "c)", "d", "(a (b) c)"}
+
+
+def test_reference_classes_take_references_in_order(spark):
+    from quillgraph.operators import schemas
+
+    rows = [("x", 0, 1, 2), ("x", 1, 3, 4), ("x", 2, 2, 3), ("x", 3, 5, 4), ("y", 0, 9, 8), ("y", 1, None, 8)]
+    got = schemas.reference_classes(spark.createDataFrame(rows, "db string, pos int, key int, ref_key int"))
+    # 2-3 joins the first class; 3 is then in both and told by the later one, whose smallest key it is
+    assert {tuple(r) for r in got.collect()} == {("x", 1, 1), ("x", 2, 1), ("x", 3, 3), ("x", 4, 3), ("x", 5, 3), ("y", 8, 8), ("y", 9, 8)}
+
+
+def test_sqlite_file(spark, tmp_path):
+    import sqlite3
+
+    from quillgraph.sources import sqlite
+
+    path = str(tmp_path / "a file.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE a (id INTEGER PRIMARY KEY, name TEXT, price REAL, raw BLOB, free)")
+    con.execute('CREATE TABLE "b b" (k INT REFERENCES a, v VARCHAR(5)) ')
+    con.execute("CREATE TABLE e (x NUMERIC)")
+    con.execute("CREATE TABLE w (k TEXT PRIMARY KEY, n INT) WITHOUT ROWID")
+    con.execute("CREATE VIEW v AS SELECT name FROM a WHERE id < 3")
+    con.executemany("INSERT INTO a VALUES (?, ?, ?, ?, ?)", [(i * i - 5, f"n{i}", i / 2, bytes([i]), i) for i in range(1, 60)] + [(-9, None, None, None, None)])
+    con.execute("UPDATE a SET name = CAST(x'66FC72' AS TEXT) WHERE id = -4")
+    con.executemany('INSERT INTO "b b" VALUES (?, ?)', [(1, "x"), (None, "y"), ("odd", "z")])
+    con.execute("INSERT INTO w VALUES ('a', 1)")
+    con.commit()
+    con.close()
+    a = sqlite.scan(spark, path, "a", parts=4)
+    assert a.dtypes == [("id", "bigint"), ("name", "string"), ("price", "double"), ("raw", "binary"), ("free", "string")]
+    rows = {r["id"]: r for r in a.collect()}
+    assert len(rows) == 60 == a.count() and rows[-4]["name"] == "für" and rows[20]["free"] == "5" and rows[-9]["raw"] is None and bytes(rows[20]["raw"]) == b"\x05"
+    assert sqlite.scan(spark, path, "e").count() == 0 and sqlite.scan(spark, path, "w").count() == 1 and sqlite.scan(spark, path, "v").count() == 4 - 1
+    assert {r["k"] for r in sqlite.scan(spark, path, "b b", types={"k": "string"}).collect()} == {"1", None, "odd"}
+    with pytest.raises(Exception, match="odd|int"):
+        sqlite.scan(spark, path, "b b").collect()
+    with pytest.raises(ValueError):
+        sqlite.scan(spark, path, "none")
+    assert [tuple(r) for r in sqlite.references(spark, path).collect()] == [("b b", "k", "a", "id")]
+    assert {r["table"]: r["kind"] for r in sqlite.tables(spark, path).collect()} == {"a": "table", "b b": "table", "e": "table", "w": "table", "v": "view"}
+    assert [r["column"] for r in sqlite.columns(spark, path).filter("is_key").collect()] == ["id", "k"]
