@@ -12,7 +12,8 @@ all vectors.
 The bucket width follows from a bounded sample (SAMPLE vectors). The number of projections is a
 parameter or grows with the number of vectors. Buckets above BLOCK vectors are cut in
 blocks, each of which gets the bucket's probes; nothing is left out. Scores are made block by
-block, a block's vectors against its queries, and only a query's best rows leave a block.
+block, a block's vectors against its queries: a matrix product leaves out what can't be among a
+query's k best, the rest is scored exactly, and the k best by (score, vec_id) leave the block.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part,
 nor do those of another length than the most frequent one (the shorter, if several are); a vec_id
@@ -198,17 +199,23 @@ def search(vectors: DataFrame, is_query, k: int = 20, probing: Probing | None =
         ids = have["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, v = ids[order], np.array(have["v"].tolist())[order]
+        # a matrix product rounds by at most about this; what may be among the k best is scored exactly
+        doubt = 8 * v.shape[1] * np.finfo(float).eps * np.linalg.norm(v, axis=1).max()
         out = []
         for a in range(0, len(want), 256):
             part = want.iloc[a : a + 256]
-            q = part["query_id"].to_numpy()
-            s = np.einsum("ij,kj->ik", np.array(part["q"].tolist()), v) if len(v) < 32 else np.array(part["q"].tolist()) @ v.T
-            s[q[:, None] == ids] = -np.inf
-            n = min(len(ids), k + 8)  # a few more, as sums may round otherwise here than in the last ranking
-            top = np.argpartition(-s, n - 1, 1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(q), 1))
-            got = np.take_along_axis(s, top, 1)
-            r, c = np.nonzero(np.isfinite(got))
-            out.append(pd.DataFrame({"query_id": q[r], "vec_id": ids[top[r, c]], "score": got[r, c]}))
+            q, x = part["query_id"].to_numpy(), np.array(part["q"].tolist())
+            s = x @ v.T
+            other = q[:, None] != ids
+            s[~other] = -np.inf
+            if k < len(ids):
+                other &= s >= (-np.partition(-s, k - 1, 1)[:, k - 1] - doubt * np.linalg.norm(x, axis=1))[:, None]
+            r, c = np.nonzero(other)
+            exact = _inner(x, v, r, c)
+            best = np.lexsort((ids[c], -exact, r))
+            r, c, exact = r[best], c[best], exact[best]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"query_id": q[r[first]], "vec_id": ids[c[first]], "score": exact[first]}))
         return pd.concat(out)
 
     found = placed.groupBy("table", "bucket", "block").cogroup(asked.groupBy("table", "bucket", "block")).applyInPandas(score, _BEST)
@@ -223,9 +230,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, probing: Probing | None =
         rest = all_.groupBy("table", "bucket", "block").cogroup(rest.groupBy("table", "bucket", "block")).applyInPandas(score, _BEST)
         found = found.join(short, "query_id", "left_anti").select("query_id", "vec_id", "score").union(rest)
     wide = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("r", F.row_number().over(wide)).filter(F.col("r") <= k + 8).select("query_id", "vec_id")
-    exact = found.join(queries, "query_id").join(usables, "vec_id").select("query_id", "vec_id", _dot(F.col("q"), F.col("v")).alias("score"))
-    return exact.withColumn("rank", F.row_number().over(wide)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(wide)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def _first_of_row(keys: np.ndarray) -> np.ndarray:
@@ -238,5 +243,10 @@ def _first_of_row(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _inner(x: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of the rows r of x with the rows c of v, added component by component in order, so
+    that equal vectors have equal scores in whatever block they meet."""
+    out = np.zeros(len(r))
+    for j in range(x.shape[1]):
+        out += x[r, j] * v[c, j]
+    return out
