@@ -18,7 +18,8 @@ grows with the distinct grams of the writing in use, not with the documents.
 
 Defined results: null and empty texts score EMPTY (0); texts of any length are read whole; repeated
 rows score alike; a labelled id with several rows takes part with each of its texts, one that has
-none with none; null labels are left out; without labels of both kinds all score 0; a score exactly
+none with none; null labels are left out, and so is an id labelled both ways; a null doc_id isn't
+held out; without labels of both kinds all score 0; a score exactly
 at the threshold is toxic; other columns, whatever their names, don't matter; an empty table gives
 no rows.
 """
@@ -235,10 +236,11 @@ def _add_grams(tokens: Counter, grams: dict[int, Counter]) -> None:
 
 
 def labelled_sample(labels: DataFrame, is_training, most: int = SAMPLE) -> DataFrame:
-    """At most `most` labelled documents of each label, by id hash."""
-    rows = labels.filter("doc_id is not null and toxic is not null").filter(is_training).select("doc_id", F.col("toxic").cast("int"))
+    """At most `most` labelled documents of each label, by id hash; an id with both labels has none."""
+    rows = labels.filter("doc_id is not null and toxic is not null").filter(is_training).groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("toxic"), F.max(F.col("toxic").cast("int")).alias("other"))
+    rows = rows.filter("toxic = other").drop("other")
     pick = lambda x: rows.filter(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return pick(1).union(pick(0)).dropDuplicates(["doc_id"])
+    return pick(1).union(pick(0))
 
 
 def _content_hashes(text: str | None) -> tuple[int, int, int] | None:
@@ -370,4 +372,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, is_training) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
