@@ -5,7 +5,8 @@ leftmost pair of minimum rank; pair ranks are looked up in an open-addressed has
 closes up behind the merge, and rows without a pair left leave the matrix.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; texts of any length,
-also without a space, are encoded whole; repeated rows are encoded each; other columns are kept;
+also without a space, are encoded whole; repeated rows are encoded each; a null doc_id stays null;
+other columns, whatever their names, are left out; an empty table gives no rows;
 texts are cut at the added tokens of a tokenizers file, each of which is one id.
 """
 
@@ -23,8 +24,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillgraph.llm import encoding
+from quillgraph.llm.shared import map_with_ids
 
 NONE = np.int32(np.iinfo(np.int32).max)
 _loaded: dict[str, ByteBPE] = {}
@@ -277,4 +280,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(work, ROUND_TRIP)
+    return map_with_ids(docs.select(F.col("doc_id").cast("long"), "text"), work, ROUND_TRIP, "doc_id")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.shared import map_with_ids
+
 OPEN, ROLE, END = "<turn>", "### ", "</turn>\n"
 LOSS_ROLE = "assistant"
 #: What a text may not hold as it stands: the escape sign, markers of turns and parts, and a heading sign.
@@ -123,7 +125,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             out.insert(0, "conv_id", b["conv_id"].array)
             yield out
 
-    return rows.mapInPandas(work, FORMATTED)
+    return map_with_ids(rows, work, FORMATTED, "conv_id", "turn")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
@@ -142,7 +144,6 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for conv, segment, start, end, attached, tokens in zip(b["conv_id"], b["segment"], b["loss_start"], b["loss_end"], b["attachments"], b["expanded_tokens"]):
-                conv = None if pd.isna(conv) else int(conv)
                 if state is None or conv != key:
                     if state is not None:
                         out.append(close())
@@ -160,9 +161,8 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _digests([close()])
 
-    return formatted.mapInPandas(work, DIGEST)
+    return map_with_ids(formatted, work, DIGEST, "conv_id")
 
 
 def _digests(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")])
-    return out.astype({"conv_id": "Int64"})
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")])

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.shared import Scratch, conf
+from quillgraph.llm.shared import Scratch, conf, map_with_ids
 
 SHINGLE = 5
 TREES = 32
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(work, _SIGNED)
+    return map_with_ids(docs.select(F.col("doc_id").cast("long"), "text"), work, _SIGNED, "doc_id")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -11,8 +11,9 @@ The driver sees the histogram and the solution (bounded by the window), never do
 of a remainder within its length is its rank in its task plus the counts of the tasks before,
 which a window over the (length, task) counts gives.
 
-Defined results: a null or empty text is one piece of the end id alone; repeated rows are packed
-each; other columns are ignored; an empty table gives no pieces.
+Defined results: a null or empty text is one piece of the end id alone; texts of any length are
+encoded whole, also of a null doc_id, which stays null; remainders of equal length are told apart by
+their place in their task; repeated rows are packed each; other columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.llm.bpe import ByteBPE, text_batches
-from quillgraph.llm.shared import Scratch
+from quillgraph.llm.shared import Scratch, map_with_ids
 
 WINDOW = 2048
 END_ID = 1
@@ -181,7 +182,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Data
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(work, _TOKENS)
+    return map_with_ids(docs.select(F.col("doc_id").cast("long"), "text"), work, _TOKENS, "doc_id")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -212,7 +213,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             rows = []
             for d, n, r, w, raw in zip(b["doc_id"], b["n"], b["rank"] + b["rank_before"], b["windows_before"] + b["part_windows"], b["ids"]):
                 ids = np.frombuffer(raw, "<u2").astype("<u4")
-                d = None if pd.isna(d) else int(d)
                 start = 0
                 places = [(int(w) + i, 0, window) for i in range(n // window)]
                 if n % window:
@@ -220,6 +220,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                 for s, o, size in places:
                     rows.append((d, start, size, zlib.crc32(ids[start : start + size].tobytes()), n, s, o))
                     start += size
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
-    return wide.select("doc_id", "n", "rank", "rank_before", "windows_before", "part_windows", "ids").mapInPandas(work, PIECES)
+    return map_with_ids(wide.select("doc_id", "n", "rank", "rank_before", "windows_before", "part_windows", "ids"), work, PIECES, "doc_id")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.session import checkpoint_dir
 
@@ -32,6 +34,16 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def map_with_ids(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, *ids: str) -> DataFrame:
+    """mapInPandas in which the long columns `ids` cross as text: pandas makes doubles of a batch's whole
+    numbers that stand beside a null, and so loses the digits of large ids."""
+    text = schema
+    for c in ids:
+        text = text.replace(f"{c} long", f"{c} string")
+    out = df.withColumns({c: F.col(c).cast("string") for c in ids if c in df.columns}).mapInPandas(work, text)
+    return out.withColumns({c: F.col(c).cast("long") for c in ids})
+
+
 @contextmanager
 def conf(spark: SparkSession, **values: str) -> Iterator[None]:
     old = {k: spark.conf.get(k, None) for k in values}

@@ -10,8 +10,9 @@ The files are a folder: codebook/ (one row: code lengths by id) and shards/ (Par
 shard, block, doc_ids, counts, bit_lengths, checkpoints, payload). Spark commits them, so a lost
 executor's part files never count.
 
-Defined results: a null or empty text holds only the end id; repeated doc_ids are kept, in an
-unspecified order among themselves; null doc_ids come first; other columns are ignored; an empty
+Defined results: a null or empty text holds only the end id; repeated doc_ids are kept, in order of
+their number of ids and then of their coded bits; null doc_ids come first, and the least long reads
+back as one; other columns are ignored; an empty
 table gives files without blocks.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillgraph.llm.bpe import ByteBPE, text_batches
-from quillgraph.llm.shared import Scratch
+from quillgraph.llm.shared import Scratch, map_with_ids
 
 MAX_BITS = 16
 SEGMENT = 256
@@ -162,7 +163,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None) -> Dat
                 ids += [flat[at[i] : at[i + 1]].tobytes() + tail for i in range(z - a)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(x) // 2 for x in ids], "ids": ids})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(work, _ENCODED)
+    return map_with_ids(docs.select(F.col("doc_id").cast("long"), "text"), work, _ENCODED, "doc_id")
 
 
 def id_counts(encoded: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
@@ -182,6 +183,15 @@ def id_counts(encoded: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
     return counts
 
 
+#: What stands for a null doc_id in the files.
+_NULL = np.iinfo(np.int64).min
+
+
+def _stored_ids(ids: pd.Series) -> np.ndarray:
+    """Long ids that crossed as text."""
+    return np.fromiter((_NULL if x is None else int(x) for x in ids), np.int64, len(ids))
+
+
 _CODED = "shard int, doc_id long, n int, bits long, checkpoints binary, payload binary"
 
 
@@ -204,7 +214,7 @@ def _coded(encoded: DataFrame, lengths: np.ndarray, bounds: np.ndarray) -> DataF
                 flat = data.tobytes()
                 yield pd.DataFrame(
                     {
-                        "shard": np.searchsorted(bounds, part["doc_id"].fillna(np.iinfo(np.int64).min).astype("int64"), "right").astype(np.int32),
+                        "shard": np.searchsorted(bounds, _stored_ids(part["doc_id"]), "right").astype(np.int32),
                         "doc_id": part["doc_id"],
                         "n": part["n"],
                         "bits": np.diff(begin) * 8,
@@ -213,7 +223,7 @@ def _coded(encoded: DataFrame, lengths: np.ndarray, bounds: np.ndarray) -> DataF
                     }
                 )
 
-    return encoded.mapInPandas(work, _CODED)
+    return map_with_ids(encoded, work, _CODED, "doc_id")
 
 
 _BLOCKS = "shard int, block int, doc_ids binary, counts binary, bit_lengths binary, checkpoints binary, payload binary"
@@ -232,8 +242,7 @@ def _blocks(coded: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            null = np.iinfo(np.int64).min
-            for s, d, n, bits, points, data in zip(b["shard"], b["doc_id"].fillna(null).astype("int64"), b["n"], b["bits"], b["checkpoints"], b["payload"]):
+            for s, d, n, bits, points, data in zip(b["shard"], _stored_ids(b["doc_id"]), b["n"], b["bits"], b["checkpoints"], b["payload"]):
                 if held and (s != shard or len(held) >= DOCS_PER_BLOCK or size + n > IDS_PER_BLOCK):
                     out.append(close())
                     block = block + 1 if s == shard else 0
@@ -246,7 +255,7 @@ def _blocks(coded: DataFrame) -> DataFrame:
         if held:
             yield pd.DataFrame([close()], columns=[x.split()[0] for x in _BLOCKS.split(", ")])
 
-    return coded.mapInPandas(work, _BLOCKS)
+    return coded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(work, _BLOCKS)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, shards: int | None = None) -> None:
@@ -260,8 +269,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     spark.createDataFrame([(bytearray(lengths.astype(np.uint8).tobytes()), MAX_BITS, SEGMENT)], "lengths binary, max_bits int, segment int").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // IDS_PER_SHARD)
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    bounds = np.unique(np.array([x for x in cuts if x is not None], np.float64)).astype(np.int64)
-    sorted_ = _coded(encoded, lengths, bounds).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id")
+    bounds = np.unique(np.clip(np.array([x for x in cuts if x is not None], np.float64), -(2.0**63), 2.0**63 - 1024)).astype(np.int64)
+    sorted_ = _coded(encoded, lengths, bounds).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "n", "payload")
     _blocks(sorted_).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/shards")
     scratch.drop("encoded")
 
@@ -292,7 +301,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack(np.frombuffer(data, np.uint8), starts, counts, table).astype("<u4")
                 at = np.concatenate([[0], np.cumsum(n)])
                 raw = [ids[at[i] : at[i + 1]].tobytes() for i in range(len(n))]
-                known = pd.Series(docs).astype("Int64").mask(docs == np.iinfo(np.int64).min)
+                known = pd.Series(docs).astype("Int64").mask(docs == _NULL)
                 yield pd.DataFrame({"shard": s, "block": k, "place": np.arange(len(n)), "doc_id": known, "n_tokens": n, "ids_crc32": [zlib.crc32(x) for x in raw], "ids": raw})
 
     return spark.read.schema(schema).parquet(f"{path}/shards").mapInPandas(work, _READ)
