@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, token_files, toxicity, url_filter
+from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, resampling, token_files, toxicity, url_filter
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -80,6 +80,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+@_query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 # ---- SQL for the operators that SQL can state
 
 _COUNT = lambda text, what: f"(length({text}) - length(replace({text}, '{what}', ''))) // {len(what)}"
@@ -114,3 +119,18 @@ coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(x.
 o AS (SELECT doc_id, n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
 n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_removed_lines::BIGINT AS n_removed_lines, CASE WHEN n_removed_lines > 0 THEN removed::DOUBLE / chars ELSE 0.0 END AS removed_share FROM m)
 SELECT *, NOT base_failed AND removed_share <= 0.7 AS kept FROM o"""
+
+# checksums bit by bit over a feature's bytes, once for each distinct feature
+ORACLES["op11_resampling"] = r"""WITH x AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+r AS (SELECT row_number() OVER () AS r, k, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y <> '') AS w FROM x),
+f AS (SELECT r, k, unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM r),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f) q),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(generate_series(1, len(x) - 1, 2), lambda i: [('0x' || substr(x, i, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, y: xor(xor(c, y) >> 1, 3988292384 * (xor(c, y) & 1))), 4294967295) % 10000 AS b FROM h),
+c AS (SELECT b, count(*) FILTER (k = 'd') AS s, count(*) FILTER (k = 't') AS t FROM f JOIN b USING (f) GROUP BY b),
+n AS (SELECT sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM c),
+g AS (SELECT b, floor(1000 * ln((c.t + 1) * (n.s + 10000) / ((c.s + 1) * (n.t + 10000))))::BIGINT AS g FROM c, n),
+m AS (SELECT r, count(*) AS n, floor(sum(g) / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE k = 'd' GROUP BY r),
+d AS (SELECT r.r, id AS doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM r LEFT JOIN m USING (r) WHERE k = 'd'),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS all FROM d WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * o.all // 100 THEN rank END::BIGINT AS rank FROM d LEFT JOIN o USING (r)"""
