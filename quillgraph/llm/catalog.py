@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, resampling, token_files, toxicity, url_filter
+from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, resampling, token_files, toxicity, url_filter, whitening
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -85,6 +85,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"))
 
 
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 # ---- SQL for the operators that SQL can state
 
 _COUNT = lambda text, what: f"(length({text}) - length(replace({text}, '{what}', ''))) // {len(what)}"
