@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, bpe, chat, near_dup, packing, pii, quality, resampling, token_files, toxicity, url_filter, whitening
+from quillgraph.llm import ann, bpe, chat, embedding_dup, near_dup, packing, pii, quality, resampling, token_files, toxicity, url_filter, whitening
 from quillgraph.llm.shared import Scratch
 from quillgraph.session import table
 
@@ -90,6 +90,11 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op12_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 # ---- SQL for the operators that SQL can state
 
 _COUNT = lambda text, what: f"(length({text}) - length(replace({text}, '{what}', ''))) // {len(what)}"
@@ -139,3 +144,9 @@ d AS (SELECT r.r, id AS doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_fea
 (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM r LEFT JOIN m USING (r) WHERE k = 'd'),
 o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS all FROM d WHERE words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * o.all // 100 THEN rank END::BIGINT AS rank FROM d LEFT JOIN o USING (r)"""
+
+ORACLES["op12_embedding_dup"] = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
