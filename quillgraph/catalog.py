@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import columns as C
-from quillgraph.operators import diffusion, evaluate, graph, linking, profile, rendering, text
+from quillgraph.operators import diffusion, evaluate, graph, linking, paths, profile, rendering, text
 from quillgraph.registry import ORACLES, QUERIES, Query, query
 from quillgraph.session import table
 
@@ -217,10 +217,18 @@ def diffusion_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return diffusion.diffuse(adj, seeds, rounds=3).select("seed", "node", F.round("m", 6).alias("m"), F.round("x", 6).alias("x"))
 
 
-@query(_flow_sql(30, 5.0, "SELECT seed, node, round(m, 6) AS m, round(x, 6) AS x, sum(greatest(0, m - sink)) OVER (PARTITION BY seed) < 0.05 AS converged FROM $ JOIN k ON k.u = node"))
+def _stopped_sql(rounds: int, every: int) -> str:
+    """The state of the first check whose excess over all seeds is below the tolerance, else the last one."""
+    checks = [*range(every, rounds, every), rounds]
+    sums = " UNION ALL ".join(f"SELECT {k} AS k, sum(greatest(0, m - sink)) AS e FROM m{k} JOIN k ON k.u = node" for k in checks)
+    states = " UNION ALL ".join(f"SELECT {k} AS k, seed, node, m, x FROM m{k}" for k in checks)
+    return f"SELECT seed, node, round(m, 6) AS m, round(x, 6) AS x, sum(greatest(0, m - sink)) OVER (PARTITION BY seed) < 0.05 AS converged FROM ({states}) z JOIN k ON k.u = node WHERE z.k = (SELECT min(k) FROM ({sums}) y WHERE e < 0.05 OR y.k = {rounds})"
+
+
+@query(_flow_sql(40, 5.0, _stopped_sql(40, 5)))
 def diffusion_converged(spark: SparkSession, sf: str) -> DataFrame:
     adj, seeds = _flow_graph(spark, sf)
-    flow = diffusion.diffuse(adj, seeds, alpha=5.0, rounds=30, check_every=31)
+    flow = diffusion.diffuse(adj, seeds, alpha=5.0, rounds=40, check_every=5)
     return flow.select("seed", "node", F.round("m", 6).alias("m"), F.round("x", 6).alias("x"), "converged")
 
 
@@ -230,12 +238,33 @@ def diffusion_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return diffusion.clusters(diffusion.diffuse(adj, seeds, rounds=10, check_every=11)).withColumn("max_flow", F.round("max_flow", 6))
 
 
-@query()
+_HOPS = 14  # more than any path here has
+
+
+def _settled_sql(name: str, cost: str) -> str:
+    """Costs from each seed by as many rounds as the longest path has hops, and predecessors."""
+    rounds = [f"{name}0 AS (SELECT seed, seed AS node, 0::DOUBLE AS cost FROM x WHERE seed = node)"]
+    rounds += [f"{name}{i} AS MATERIALIZED (SELECT seed, node, min(cost) AS cost FROM (SELECT * FROM {name}{i - 1} UNION ALL SELECT e.seed, e.v, cost + {cost} FROM {name}{i - 1} d JOIN edge e ON e.seed = d.seed AND e.u = d.node) z GROUP BY ALL)" for i in range(1, _HOPS + 1)]
+    rounds.append(f"{name}_before AS MATERIALIZED (SELECT e.seed, e.v AS node, min(e.u) AS before FROM edge e JOIN {name}{_HOPS} a ON a.seed = e.seed AND a.node = e.u JOIN {name}{_HOPS} b ON b.seed = e.seed AND b.node = e.v WHERE a.cost + {cost} = b.cost GROUP BY ALL)")
+    return ", ".join(rounds)
+
+
+@query(
+    _flow_sql(10, 50.0, f"""SELECT * FROM (WITH RECURSIVE x AS MATERIALIZED (SELECT seed, node, x FROM $ WHERE x > 0), edge AS MATERIALIZED (SELECT a.seed, u, v, 1 / (a.x + b.x + 1e-10::DOUBLE) AS c FROM adj JOIN x a ON a.node = u JOIN x b ON b.node = v AND b.seed = a.seed WHERE u <> v),
+{_settled_sql("d", "c")}, {_settled_sql("h", "1")}, top AS (SELECT seed, arg_max(node, (round(x, 6), -node)) AS target FROM x WHERE node <> seed GROUP BY seed), far AS (SELECT seed, arg_max(node, (cost, x, -node)) AS node FROM h{_HOPS} JOIN x USING (seed, node) GROUP BY seed),
+w AS (SELECT seed, target, target AS node, true AS reached, 0 AS back FROM top UNION ALL SELECT w.seed, target, before, true, back + 1 FROM w JOIN d_before b ON b.seed = w.seed AND b.node = w.node),
+f AS (SELECT seed, -1::BIGINT AS target, node, false AS reached, 0 AS back FROM far UNION ALL SELECT f.seed, target, before, false, back + 1 FROM f JOIN h_before b ON b.seed = f.seed AND b.node = f.node),
+p AS (SELECT z.seed, target, reached, list(node ORDER BY back DESC) AS path, avg(x.x) AS mean FROM (FROM w UNION ALL FROM f) z JOIN x USING (seed, node) GROUP BY ALL)
+SELECT seed, target, reached, array_to_string(path, ' -> ') AS path, round(CASE WHEN len(path) < 2 THEN 0 ELSE 0.7 * 0.5 + 0.3 * mean / (mean + 1) END, 6)::DOUBLE AS score FROM p) q""")
+)
 def flow_path(spark: SparkSession, sf: str) -> DataFrame:
+    """From each seed to the node with the most flow, and to one that isn't there."""
     adj, seeds = _flow_graph(spark, sf)
-    flow = graph.cut(diffusion.diffuse(adj, seeds.filter("seed = 1"), alpha=50.0, rounds=10))
-    target = flow.filter("x > 0 and node <> 1").orderBy(F.desc("x"), "node").head()
-    return diffusion.best_path(adj, flow, 1, target["node"] if target else 1).withColumn("path", F.array_join(F.col("path").cast("array<string>"), " -> "))
+    flow = graph.cut(diffusion.diffuse(adj, seeds, alpha=50.0, rounds=10, check_every=11))
+    top = flow.filter("x > 0 and node <> seed").groupBy("seed").agg(F.max(F.struct(F.round("x", 6).alias("x"), (-F.col("node")).alias("n"))).alias("t"))
+    pairs = top.select("seed", (-F.col("t.n")).alias("target")).union(seeds.select("seed", F.lit(-1).cast("long")))
+    found = paths.find_paths(adj, flow, pairs)
+    return found.select("seed", "target", "reached", F.array_join(F.col("path").cast("array<string>"), " -> ").alias("path"), F.round("score", 6).alias("score"))
 
 
 # ---- vectors: queries are the rows whose id is divisible by 100, in one bounded block
@@ -390,12 +419,17 @@ def cell_links(spark: SparkSession, sf: str) -> DataFrame:
     return linking.cell_links(p.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text")), p.select(F.lit("p_type").alias("column"), F.col("p_type").alias("value")).distinct())
 
 
-@query()
+@query(r"""WITH w AS (SELECT p_partkey AS qid, list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM part), t AS (SELECT qid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM w),
+v AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(p_type), '[^\p{L}\p{N}_]+')) AS word FROM part), l AS (SELECT DISTINCT qid, pos FROM t JOIN v USING (word) WHERE word <> ''), i AS (SELECT qid, pos, pos - row_number() OVER (PARTITION BY qid ORDER BY pos) AS island FROM l)
+SELECT qid, 'p_type' AS "column", min(pos)::INT AS start, count(*) AS length FROM i GROUP BY qid, island""")
 def cell_link_islands(spark: SparkSession, sf: str) -> DataFrame:
     return linking.islands(cell_links(spark, sf))
 
 
-@query()
+@query(r"""WITH q AS (SELECT p_partkey AS qid, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM part), s AS (SELECT qid, w, unnest(generate_series(1, len(w))) AS i FROM q),
+z AS (SELECT qid, w, i, unnest(generate_series(1, least(5, len(w) - i + 1))) AS n FROM s), g AS (SELECT DISTINCT qid, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM z), t AS (SELECT DISTINCT p_type AS name, lower(p_type) AS words FROM part),
+l AS (SELECT qid, name, 'exact' AS kind, n FROM g JOIN t ON gram = words UNION ALL SELECT qid, name, 'prefix', n FROM g JOIN t ON length(gram) > 2 AND words <> gram AND starts_with(words, gram || ' '))
+SELECT qid, name, arg_min(kind, (kind, -n)) AS kind, arg_min(n, (kind, -n))::INT AS n FROM l GROUP BY qid, name""")
 def schema_links(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     names = p.select(F.col("p_type").alias("name"), F.lower("p_type").alias("words")).distinct()

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import cut
 
+#: Rounds whose plans are kept one in another, each read twice by the next, before the state is cut.
+CUT = 3
+
 
 def edge_weight(w: Column, s_u: Column, s_v: Column, kind: str = "original") -> Column:
     """Weight of an edge whose ends are s_u and s_v like the query. Not positive: 0."""
@@ -27,38 +30,52 @@ def weighted(projection: DataFrame, similarity: DataFrame, kind: str = "original
 
 
 def start(adj: DataFrame, seeds: DataFrame, alpha: float, confidence: float) -> tuple[DataFrame, DataFrame]:
-    """(adjacency with shares, state): sinks are degrees, a seed's mass is alpha * sink * (1 + confidence)."""
-    per = adj.groupBy("u").agg(F.count("*").cast("double").alias("sink"), F.sum("w").alias("total"))
-    moves = cut(adj.join(per, "u").filter("total > 0").select("u", "v", (F.col("w") / F.col("total")).alias("share"), "sink", "total"))
+    """(moves, state): sinks are degrees, a seed's mass is alpha * sink * (1 + confidence). Moves carry the
+    share of an edge and what a round needs to know of its end."""
+    per = cut(adj.groupBy("u").agg(F.count("*").cast("double").alias("sink"), F.sum("w").alias("total")))
+    ends = per.select(F.col("u").alias("v"), "sink", F.col("total").alias("t"))
+    moves = adj.join(per.select("u", "total"), "u").filter("total > 0").select("u", "v", (F.col("w") / F.col("total")).alias("share")).join(ends, "v", "left")
     sinks = per.select(F.col("u").alias("node"), "sink", "total")
     state = seeds.join(sinks, seeds["seed"] == sinks["node"]).select("seed", "node", (F.lit(alpha * (1 + confidence)) * F.col("sink")).alias("m"), F.lit(0.0).alias("x"), "sink", "total")
-    return moves, cut(state)
+    return cut(moves.select("u", "v", "share", "sink", F.col("t").alias("total"))), cut(state)
+
+
+def push_round(moves: DataFrame, state: DataFrame) -> DataFrame:
+    """All nodes above their sink send the excess to their neighbours by weight share: one join of the
+    active nodes and one sum of what stays and what is sent."""
+    active = (F.col("m") > F.col("sink")) & (F.col("total") > 0)
+    over = F.col("m") - F.col("sink")
+    stays = state.select("seed", "node", F.when(active, F.col("sink")).otherwise(F.col("m")).alias("m"), (F.col("x") + F.when(active, over / F.col("total")).otherwise(0.0)).alias("x"), "sink", "total")
+    sends = state.filter(active).select("seed", F.col("node").alias("u"), over.alias("e"))
+    sent = sends.join(moves, "u").select("seed", F.col("v").alias("node"), (F.col("e") * F.col("share")).alias("m"), F.lit(0.0).alias("x"), "sink", "total")
+    return stays.union(sent).groupBy("seed", "node").agg(F.sum("m").alias("m"), F.sum("x").alias("x"), F.max("sink").alias("sink"), F.max("total").alias("total"))
 
 
-def push_round(moves: DataFrame, sinks: DataFrame, state: DataFrame) -> DataFrame:
-    """All nodes above their sink send the excess to their neighbours by weight share."""
-    active = state.filter("m > sink and total > 0").select("seed", F.col("node").alias("u"), (F.col("m") - F.col("sink")).alias("e"))
-    sent = active.join(moves.select("u", "v", "share"), "u").groupBy("seed", F.col("v").alias("node")).agg(F.sum(F.col("e") * F.col("share")).alias("got"))
-    joined = state.select("seed", "node", "m", "x", "sink", "total").join(sent, ["seed", "node"], "full_outer")
-    known = joined.join(sinks.select("node", F.col("sink").alias("s2"), F.col("total").alias("t2")), "node", "left")
-    m, sink, total = F.coalesce("m", F.lit(0.0)), F.coalesce("sink", "s2"), F.coalesce("total", "t2")
-    over = F.when((m > sink) & (total > 0), m - sink).otherwise(F.lit(0.0))
-    return known.select("seed", "node", (m - over + F.coalesce("got", F.lit(0.0))).alias("m"), (F.coalesce("x", F.lit(0.0)) + F.when(over > 0, over / total).otherwise(F.lit(0.0))).alias("x"), sink.alias("sink"), total.alias("total"))
+def excess(state: DataFrame) -> Column:
+    return F.greatest(F.lit(0.0), state["m"] - state["sink"])
 
 
 def diffuse(adj: DataFrame, seeds: DataFrame, alpha: float = 50.0, confidence: float = 0.7, rounds: int = 100, tolerance: float = 0.05, check_every: int = 5) -> DataFrame:
     """(seed, node, m, x): mass left and flow through each node that mass reached.
 
     adj: symmetric (u, v, w). Stops once the excess over all seeds is below tolerance, else after
-    `rounds`. converged tells which seeds hold no excess above tolerance.
+    `rounds`. converged tells which seeds hold no excess above tolerance. Rounds are kept in memory,
+    where a lost executor's part is computed again, and cut in the shared folder at each check.
     """
     moves, state = start(adj, seeds, alpha, confidence)
-    sinks = cut(adj.groupBy(F.col("u").alias("node")).agg(F.count("*").cast("double").alias("sink"), F.sum("w").alias("total")))
+    held: list[DataFrame] = []
     for k in range(1, rounds + 1):
-        state = cut(push_round(moves, sinks, state))
-        if k % check_every == 0 and (state.agg(F.sum(F.greatest(F.lit(0.0), F.col("m") - F.col("sink")))).head()[0] or 0.0) < tolerance:
+        state = push_round(moves, state)
+        if k % check_every and k % CUT and k < rounds:
+            held.append(state.persist())
+            continue
+        state = cut(state)
+        for old in held:
+            old.unpersist()
+        held = []
+        if k % check_every == 0 and k < rounds and (state.agg(F.sum(excess(state))).head()[0] or 0.0) < tolerance:
             break
-    left = state.groupBy("seed").agg((F.sum(F.greatest(F.lit(0.0), F.col("m") - F.col("sink"))) < tolerance).alias("converged"))
+    left = state.groupBy("seed").agg((F.sum(excess(state)) < tolerance).alias("converged"))
     return state.join(left, "seed").select("seed", "node", "m", "x", "converged")
 
 
@@ -70,19 +87,3 @@ def clusters(flow: DataFrame, min_flow: float = 0.1) -> DataFrame:
 
 def path_score(confidence: Column, mean_flow: Column, nodes: Column) -> Column:
     return F.when(nodes < 2, F.lit(0.0)).otherwise(0.7 * confidence + 0.3 * mean_flow / (mean_flow + 1))
-
-
-def best_path(adj: DataFrame, flow: DataFrame, source, target) -> DataFrame:
-    """(node, cost, path): cheapest paths from source inside the support, an edge costing
-    1 / (x_u + x_v + 1e-10), by rounds of relaxation until no path gets cheaper; the row of target, if it was reached."""
-    x = flow.filter("x > 0").select("node", "x")
-    a, b = x.select(F.col("node").alias("u"), F.col("x").alias("xu")), x.select(F.col("node").alias("v"), F.col("x").alias("xv"))
-    edges = cut(adj.join(a, "u").join(b, "v").select("u", "v", (1 / (F.col("xu") + F.col("xv") + 1e-10)).alias("c")))
-    best = cut(x.filter(F.col("node") == source).select("node", F.lit(0.0).alias("cost"), F.array("node").alias("path")))
-    while True:
-        step = best.join(edges, best["node"] == edges["u"]).select(F.col("v").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.concat("path", F.array("v")).alias("path"))
-        new = cut(best.union(step).groupBy("node").agg(F.min(F.struct("cost", "path")).alias("p")).select("node", "p.cost", "p.path"))
-        if new.join(best, ["node", "cost"], "left_anti").isEmpty():
-            break
-        best = new
-    return best.filter(F.col("node") == target)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import value_index
+from quillgraph.operators import phrases, value_index
 from quillgraph.registry import query
 from quillgraph.session import scratch_path, table
 
@@ -67,3 +67,55 @@ def similar_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Values like the benchmark's altered words, each a question of its own."""
     keywords = _keywords(spark, sf).select(F.col("keyword").alias("question"), "keyword")
     return value_index.similar_entities(_index(spark, sf), keywords, letter_counts)
+
+
+# ---- phrases: a question of each part says its name forwards and backwards, its type and size
+
+_ASK = "p_name || ' and ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || ', ' || p_type || ' ' || p_name || ' ' || p_size"
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), F.expr(_ASK).alias("text"))
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    value = lambda c: p.select(F.lit("part").alias("table"), F.lit(c).alias("column"), F.col(c).alias("value")).distinct()
+    return value("p_name").union(value("p_type")).union(value("p_brand"))
+
+
+_PHRASES_SQL = rf"""q AS (SELECT p_partkey AS qid, list_filter(list_transform(regexp_split_to_array(lower({_ASK}), '\s+'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: w <> '') AS w FROM part),
+t AS (SELECT qid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM q),
+v AS (SELECT DISTINCT 'p_name' AS c, p_name AS v FROM part UNION SELECT 'p_type', p_type FROM part UNION SELECT 'p_brand', p_brand FROM part),
+i AS (SELECT DISTINCT c, unnest(string_split(lower(v), ' ')) AS word FROM v),
+l AS (SELECT qid, c, pos, word, pos - row_number() OVER (PARTITION BY qid, c ORDER BY pos) AS run FROM t JOIN i USING (word) WHERE word <> 'and' AND try_cast(word AS DOUBLE) IS NULL),
+r AS (SELECT qid, c, min(pos)::INT AS start, count(*)::INT AS length, string_agg(word, ' ' ORDER BY pos) AS phrase FROM l GROUP BY qid, c, run),
+f AS (SELECT r.*, EXISTS (SELECT 1 FROM v WHERE v.c = r.c AND lower(v.v) = phrase) AS exact FROM r)"""
+
+
+@query(f"""WITH {_PHRASES_SQL} SELECT qid, 'part' AS "table", c AS "column", start, length, phrase, CASE WHEN exact THEN 'exact' ELSE 'partial' END AS kind FROM f""")
+def cell_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.cell_phrases(_questions(spark, sf), _cells(spark, sf), ("and",))
+
+
+@query(rf"""WITH {_PHRASES_SQL} SELECT qid, pos::INT AS pos, 'part' AS "table", c AS "column", k AS kind FROM t, (VALUES ('p_size', 'NUMBER'), ('p_since', 'TIME')) x(c, k) WHERE try_cast(word AS DOUBLE) IS NOT NULL""")
+def number_links(spark: SparkSession, sf: str) -> DataFrame:
+    columns = spark.createDataFrame([("part", "p_size", "number"), ("part", "p_since", "time"), ("part", "p_name", "text")], "table string, column string, type string")
+    return phrases.number_links(_questions(spark, sf), columns)
+
+
+# matches of a word: the columns and tables whose name, here a letter of the word, it says
+
+_MATCH_SQL = f"""{_PHRASES_SQL}, m AS (SELECT DISTINCT qid, pos, CASE WHEN j = 3 THEN 'table' ELSE 'column' END AS what, word[j] AS name, CASE WHEN (pos + j) % 3 = 0 THEN 'exact' ELSE 'partial' END AS kind FROM t, (VALUES (1), (2), (3)) z(j) WHERE word[j] <> ''),
+g AS (SELECT qid, pos, list_sort(list({{'what': what, 'name': name, 'kind': kind}})) AS found FROM m GROUP BY qid, pos), o AS (SELECT qid, pos, found, row_number() OVER (PARTITION BY qid ORDER BY len(found), pos) AS k FROM g),
+s AS (SELECT qid, k, pos, [] :: STRUCT(what VARCHAR, name VARCHAR, kind VARCHAR)[] AS known, found, false AS done, [] :: STRUCT(what VARCHAR, name VARCHAR, kind VARCHAR)[] AS kept FROM o WHERE k = 1
+UNION ALL SELECT s.qid, s.k + 1, n.pos, s.known || CASE WHEN len(list_intersect(s.known, s.found)) > 0 THEN [] ELSE CASE WHEN len(list_filter(s.found, lambda x: x.kind = 'exact')) > 0 THEN list_filter(s.found, lambda x: x.kind = 'exact') ELSE s.found END END,
+n.found, false, [] FROM s JOIN o n ON n.qid = s.qid AND n.k = s.k + 1),
+d AS (SELECT qid, pos, unnest(CASE WHEN len(list_intersect(known, found)) > 0 THEN list_intersect(known, found) WHEN len(list_filter(found, lambda x: x.kind = 'exact')) > 0 THEN list_filter(found, lambda x: x.kind = 'exact') ELSE found END) AS x FROM s)"""
+
+
+@query(f"WITH RECURSIVE {_MATCH_SQL} SELECT qid, pos::INT AS pos, x.what AS what, x.name AS name, x.kind AS kind FROM d")
+def settled_links(spark: SparkSession, sf: str) -> DataFrame:
+    w = phrases.question_words(_questions(spark, sf)).withColumn("j", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("name", F.substring("word", F.col("j"), F.lit(1))).filter("name <> ''")
+    matches = w.select("qid", "pos", F.when(F.col("j") == 3, "table").otherwise("column").alias("what"), "name", F.when((F.col("pos") + F.col("j")) % 3 == 0, "exact").otherwise("partial").alias("kind")).distinct()
+    return phrases.settled(matches)
