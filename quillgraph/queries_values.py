@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import phrases, value_index
+from quillgraph.operators import bridge, phrases, value_index
 from quillgraph.registry import query
 from quillgraph.session import scratch_path, table
 
@@ -119,3 +119,12 @@ def settled_links(spark: SparkSession, sf: str) -> DataFrame:
     w = phrases.question_words(_questions(spark, sf)).withColumn("j", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("name", F.substring("word", F.col("j"), F.lit(1))).filter("name <> ''")
     matches = w.select("qid", "pos", F.when(F.col("j") == 3, "table").otherwise("column").alias("what"), "name", F.when((F.col("pos") + F.col("j")) % 3 == 0, "exact").otherwise("partial").alias("kind")).distinct()
     return phrases.settled(matches)
+
+
+@query()
+def bridge_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of parts and places that a question about each part spells out, one letter short or as its owner."""
+    p = table(spark, sf, "part")
+    text = F.concat(F.lit("Which "), F.lower("p_type"), F.lit(" part is the "), F.regexp_replace("p_name", "(.)$", ""), F.lit(" of "), F.lower("p_brand"), F.lit(" or "), F.lit("nation_"), (F.col("p_size") % 25).cast("string"), F.lit("'s "), F.col("p_name"), F.lit("?"))
+    n = table(spark, sf, "nation").select(F.lit("nation").alias("table"), F.lit("n_name").alias("column"), F.col("n_name").alias("value"))
+    return bridge.bridge_matches(p.select(F.col("p_partkey").alias("qid"), text.alias("text")), _cells(spark, sf).withColumn("column", F.replace("column", F.lit("p_name"), F.lit("p_label"))).union(n))
