@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import columns as C
-from quillgraph.operators import diffusion, evaluate, graph, linking, paths, profile, rendering, text
+from quillgraph.operators import diffusion, evaluate, graph, linking, paths, profile, rendering, text, vector_index
 from quillgraph.registry import ORACLES, QUERIES, Query, query
 from quillgraph.session import table
 
@@ -270,38 +270,32 @@ def flow_path(spark: SparkSession, sf: str) -> DataFrame:
 # ---- vectors: queries are the rows whose id is divisible by 100, in one bounded block
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-QUERY_BLOCK = 1000
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows against the queries, in blocks of about QUERY_BLOCK by a hash of their ids, whatever
-    range the ids lie in."""
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    n = q.count() // QUERY_BLOCK + 1
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
-    return rows.select("vec_id", "embedding", F.explode("qs").alias("x")).select("x.query_id", "vec_id", F.col("x.q").alias("q"), "embedding").filter("query_id <> vec_id")
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, and those whose id is divisible by 100 as queries."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("apart"))
+    return e, e.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"), "apart")
 
 
 @query(f"SELECT query_id, vec_id, sim, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COS}, 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf).select("query_id", "vec_id", F.round(C.cosine(F.col("q"), F.col("embedding")), 6).alias("sim"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))).filter("rank <= 10")
+    rows, queries = _vectors(spark, sf)
+    return vector_index.search(rows.drop("apart"), queries, 10).toDF("query_id", "vec_id", "sim", "rank")
 
 
 @query(f"SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND round({_COS}, 6) >= 0.2 GROUP BY 1")
 def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf).filter(F.round(C.cosine(F.col("q"), F.col("embedding")), 6) >= 0.2)
-    return s.groupBy("query_id").agg(F.count("*").alias("n"))
+    rows, queries = _vectors(spark, sf)
+    return vector_index.search(rows.drop("apart"), queries, least=0.2).groupBy(F.col("qid").alias("query_id")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT query_id, CASE WHEN s > 0.95 THEN hit END AS hit, round(s, 6) AS s FROM (SELECT a.vec_id AS query_id, arg_max(b.vec_id, (round({_COS}, 6), -b.vec_id)) AS hit, max(round({_COS}, 6)) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1)")
 def semantic_cache_hit(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest stored embedding counts as a hit only above a cosine of 0.95."""
-    s = _scored(spark, sf).withColumn("s", F.round(C.cosine(F.col("q"), F.col("embedding")), 6))
-    best = s.groupBy("query_id").agg(F.max_by("vec_id", F.struct("s", -F.col("vec_id"))).alias("hit"), F.max("s").alias("s"))
-    return best.select("query_id", F.when(F.col("s") > 0.95, F.col("hit")).alias("hit"), "s")
+    rows, queries = _vectors(spark, sf)
+    best = vector_index.search(rows.drop("apart"), queries, 1)
+    return best.select(F.col("qid").alias("query_id"), F.when(F.col("score") > 0.95, F.col("id")).alias("hit"), F.col("score").alias("s"))
 
 
 @query("SELECT vec_id, list_sum(list_transform(embedding::DOUBLE[], lambda x: round_even((x - list_min(embedding::DOUBLE[])) * (255 / (list_max(embedding::DOUBLE[]) - list_min(embedding::DOUBLE[]))), 0)))::BIGINT AS code_sum FROM embeddings")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import catalog as base
 from quillgraph.functions import columns as C
-from quillgraph.operators import diffusion, examples, graph, parsing, retrieval
+from quillgraph.operators import diffusion, examples, graph, parsing, retrieval, vector_index
 from quillgraph.registry import query
 from quillgraph.session import table
 
@@ -121,26 +122,33 @@ _DIST = "round(sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.em
 _PAIRS = f"p AS (SELECT a.vec_id AS qid, b.vec_id AS example, {_DIST} AS distance, round({base._COS}, 6) AS likeness FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.label <> b.label)"
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("db"))
-    s = base._scored(spark, sf).select(F.col("query_id").alias("qid"), F.col("vec_id").alias("example"), F.round(C.euclidean(F.col("q"), F.col("embedding")), 6).alias("distance"), F.round(C.cosine(F.col("q"), F.col("embedding")), 6).alias("likeness"))
-    wide = s.join(labels.withColumnRenamed("vec_id", "qid"), "qid").join(labels.select(F.col("vec_id").alias("example"), F.col("db").alias("other_db")), "example")
-    return examples.other_domain(wide).select("qid", "example", "distance", "likeness")
+def _met(spark: SparkSession, sf: str, k: int, measure) -> DataFrame:
+    """(qid, example, score): the k best examples of other labels than the query's."""
+    rows, queries = base._vectors(spark, sf)
+    return vector_index.search(rows, queries, k, measure=measure).select("qid", F.col("id").alias("example"), "score")
 
 
 @query(f"WITH {_PAIRS} SELECT qid, example, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, example) AS rank FROM p) WHERE rank <= 5")
 def nearest_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return examples.nearest(_pairs(spark, sf), 5).select("qid", "example", "distance", "rank")
+    near = _met(spark, sf, 5, vector_index.nearness).withColumn("distance", -F.col("score"))
+    return examples.nearest(near, 5).select("qid", "example", "distance", "rank")
 
 
 @query(f"WITH {_PAIRS} SELECT qid, example, l AS likeness, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY l DESC, example) AS rank FROM (SELECT *, greatest(likeness, round(1 - distance, 6)) AS l FROM p)) WHERE rank <= 5")
 def likely_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return examples.best_likeness(_pairs(spark, sf).select("qid", "example", F.col("likeness").alias("question_likeness"), F.round(1 - F.col("distance"), 6).alias("skeleton_likeness")), 5)
+    # who is among the best by the greater likeness is among the best by one of them
+    said = _met(spark, sf, 5, vector_index.cosines).withColumnRenamed("score", "question_likeness")
+    shape = _met(spark, sf, 5, lambda q, v: 1 + np.round(vector_index.nearness(q, v), 6)).withColumnRenamed("score", "skeleton_likeness")
+    return examples.best_likeness(said.join(shape, ["qid", "example"], "full").na.fill(-9.0, ["question_likeness", "skeleton_likeness"]), 5)
 
 
 @query(f"WITH {_PAIRS} SELECT qid, example, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN likeness >= 0.3 THEN 0 ELSE 1 END, distance, example) AS rank FROM p) WHERE rank <= 9")
 def two_pass_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return examples.two_passes(_pairs(spark, sf), 9, 0.3)
+    first = 1e6  # those that are like enough come before all others, the nearest first
+    order = lambda q, v: np.where(np.round(vector_index.cosines(q, v), 6) >= 0.3, first, 0.0) + np.round(vector_index.nearness(q, v), 6)
+    alike = F.col("score") > first / 2
+    pairs = _met(spark, sf, 9, order).select("qid", "example", F.when(alike, 0.3).otherwise(0.0).alias("likeness"), (F.when(alike, first).otherwise(0.0) - F.col("score")).alias("distance"))
+    return examples.two_passes(pairs, 9, 0.3)
 
 
 _TOKENS = "w AS (SELECT p_partkey AS qid, unnest(string_split(p_type || ' x ' || p_brand, ' ')) AS token, generate_subscripts(string_split(p_type || ' x ' || p_brand, ' '), 1) - 1 AS pos FROM part)"

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import bridge, phrases, value_index
+from quillgraph.operators import bridge, phrases, value_index, vector_index
 from quillgraph.registry import query
 from quillgraph.session import scratch_path, table
 
@@ -128,3 +128,27 @@ def bridge_matches(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("Which "), F.lower("p_type"), F.lit(" part is the "), F.regexp_replace("p_name", "(.)$", ""), F.lit(" of "), F.lower("p_brand"), F.lit(" or "), F.lit("nation_"), (F.col("p_size") % 25).cast("string"), F.lit("'s "), F.col("p_name"), F.lit("?"))
     n = table(spark, sf, "nation").select(F.lit("nation").alias("table"), F.lit("n_name").alias("column"), F.col("n_name").alias("value"))
     return bridge.bridge_matches(p.select(F.col("p_partkey").alias("qid"), text.alias("text")), _cells(spark, sf).withColumn("column", F.replace("column", F.lit("p_name"), F.lit("p_label"))).union(n))
+
+
+# ---- descriptions: each part's name, type and brand as a column of its type's table
+
+_LETTERS = "list_transform(generate_series(97, 122), lambda c: length({0}) - length(replace({0}, chr(c::INT), '')))"
+
+
+def _vector_sql(text: str) -> str:
+    """Counts of letters and of what is none, as letter_counts has them."""
+    counts = _LETTERS.format(f"lower({text})")
+    return f"list_append({counts}, length({text}) - list_sum({counts}))::DOUBLE[]"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT p_type AS t, p_brand AS c, unnest([p_name, p_brand || ' of ' || p_type]) AS content FROM part), e AS (SELECT *, {_vector_sql('content')} AS v FROM d),
+k AS (SELECT DISTINCT p_name AS qid, p_type AS keyword, unnest(['what is ' || p_name || ' ' || p_type, p_type || ' ' || p_type]) AS content FROM part), q AS (SELECT DISTINCT content, {_vector_sql('content')} AS v FROM k),
+s AS (SELECT q.content, t, c, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM q, e)
+SELECT qid, keyword, t AS "table", c AS "column", max(score) AS score FROM s JOIN k USING (content) WHERE score >= 0.8 GROUP BY ALL""")
+def similar_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns with a description like a part's name or type, from all lists of the index."""
+    p = table(spark, sf, "part")
+    descriptions = p.select(F.col("p_type").alias("table"), F.col("p_brand").alias("column"), F.col("p_name").alias("column_name"), F.lit("").alias("column_description"), F.concat("p_brand", F.lit(" of "), "p_type").alias("value_description"))
+    index = vector_index.DescriptionIndex(spark, scratch_path(spark, "description-index"), letter_counts, vector_index.Lists(16, None)).build(descriptions.distinct())
+    asked = p.select(F.col("p_name").alias("qid"), F.concat(F.lit("what is "), "p_name").alias("question"), F.col("p_type").alias("evidence"), F.col("p_type").alias("keyword")).distinct()
+    return index.similar_columns(asked, None, 0.8)
