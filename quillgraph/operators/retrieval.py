@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.operators.text import budget_prefix, first_of_each, rank_text_units
+from quillgraph.operators.ordered import numbered, running
+from quillgraph.operators.text import first_of_each, rank_text_units
 
 
 @dataclass(frozen=True)
@@ -69,15 +70,15 @@ def text_context(seed_rows: DataFrame, mentions: DataFrame, edges: DataFrame, ch
     ranked = rank_text_units(seed_rows, mentions, edges)
     there = ranked.join(chunks.filter(F.col("content").isNotNull() & (F.col("content") != "")), "chunk")
     order = ["seed_order", F.desc("relation_counts"), "chunk"]
-    kept = budget_prefix(there.withColumn("all", F.lit(0)), ["all"], order, "tokens", budget)
-    return kept.select("chunk", F.row_number().over(Window.partitionBy("all").orderBy(*order)).alias("place"), "tokens")
+    kept = running(there, order, "tokens", "running").filter(F.col("running") <= budget)
+    return numbered(kept, order, "place").select("chunk", "place", "tokens")
 
 
 def combined_sources(global_: DataFrame, local: DataFrame) -> DataFrame:
     """(id, content): both lists without repeats, the global one first, numbered from 1."""
     both = global_.select("content", F.lit(0).alias("side"), "place").union(local.select("content", F.lit(1), "place"))
     once = first_of_each(both, "content", ["side", "place"])
-    return once.select(F.row_number().over(Window.orderBy("side", "place", "content")).alias("id"), "content")
+    return numbered(once, ["side", "place", "content"], "id").select("id", "content")
 
 
 def hybrid_contexts(local: DataFrame, global_: DataFrame) -> DataFrame:
