@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillgraph.operators.ordered import running
+
 #: Name patterns of key columns, {} being the table's name, and their scores; the first that is
 #: found in the upper-cased name counts. Fixed values.
 KEY_NAMES = (
@@ -39,9 +42,22 @@ def counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns({"nullability": share("null_count"), "cardinality": share("distinct_count")})
 
 
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, median): exact, from the counts of values, which are added up over ranges of values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    counted = df.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    summed = running(counted, ["column", "value"], "n", "upto")
+    ends = summed.groupBy("column").agg(F.sum("n").alias("total"), F.min(F.col("upto") - F.col("n")).alias("start"))  # a row a column
+    at = summed.join(F.broadcast(ends), "column").withColumn("to", F.col("upto") - F.col("start"))
+    holds = lambda place: F.max(F.when((F.col("to") - F.col("n") <= place) & (place < F.col("to")), F.col("value")))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return at.groupBy("column").agg(((holds(low) + holds(high)) / 2).alias("median"))
+
+
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     x = lambda c: F.col(c).cast("double")
-    return _per_column(df, columns, lambda c: [F.min(x(c)).alias("min"), F.max(x(c)).alias("max"), F.round(F.avg(x(c)), 4).alias("avg"), F.round(F.median(x(c)), 4).alias("median"), F.round(F.stddev_samp(x(c)), 4).alias("stddev")])
+    out = _per_column(df, columns, lambda c: [F.min(x(c)).alias("min"), F.max(x(c)).alias("max"), F.round(F.avg(x(c)), 4).alias("avg"), F.round(F.stddev_samp(x(c)), 4).alias("stddev")])
+    return out.join(medians(df, columns), "column", "left").select("column", "min", "max", "avg", F.round("median", 4).alias("median"), "stddev")
 
 
 def text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -98,16 +114,25 @@ def key_scores(profile: DataFrame, types: dict[str, T.DataType], table: str = ""
 
 def reference_names(columns: DataFrame, keys: DataFrame) -> DataFrame:
     """columns (table, column, type) against keys (ref_table, ref_column, ref_type) of other tables whose
-    name they bear: confidence low where types differ, else medium. Both are schema rows, keys the few
-    columns that are keys; a column name can only fit patterns of a key it holds, so they meet by block."""
-    fits = F.lit(False)
-    for pattern in REFERENCE_NAMES:
-        parts = pattern.replace("{table}", "\0t\0").replace("{column}", "\0c\0").split("\0")
-        regex = F.concat(F.lit("(?i)"), *[F.concat(F.lit("\\Q"), F.upper("ref_table" if x == "t" else "ref_column"), F.lit("\\E")) if x in ("t", "c") else F.lit(x) for x in parts])
-        fits = fits | F.regexp_like(F.upper("column"), regex)
-    pairs = columns.join(keys, (F.col("table") != F.col("ref_table")) & fits)
+    name they bear: confidence low where types differ, else medium. A pattern that is a whole name is
+    made for each key, one that a name begins with is met by each beginning of the column's name that ends
+    where the pattern does; both are equi-joins."""
+    upper = {"{table}": F.upper("ref_table"), "{column}": F.upper("ref_column")}
+
+    def made(pattern: str) -> Column:
+        return F.concat(*[upper.get(x, F.lit(x)) for x in re.split(r"(\{table\}|\{column\})", pattern.strip("^$")) if x])
+
+    whole = F.array(*[made(p) for p in REFERENCE_NAMES if p.endswith("$")])
+    named = keys.withColumn("name", F.explode(F.array_distinct(whole)))
+    met = columns.withColumn("name", F.upper("column")).join(named, "name").drop("name")
+    for pattern in (p for p in REFERENCE_NAMES if not p.endswith("$")):
+        end = pattern[-1]
+        pieces = F.split(F.upper("column"), end)
+        begins = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.array_join(F.slice(pieces, F.lit(1), i), end), F.lit(end)))
+        parts = columns.filter(F.size(pieces) > 1).withColumn("name", F.explode(begins))
+        met = met.union(parts.join(keys.withColumn("name", made(pattern)), "name").drop("name"))
     confidence = F.when(F.upper("type") != F.upper("ref_type"), "low").otherwise("medium")
-    return pairs.select("table", "column", "ref_table", "ref_column", confidence.alias("confidence"))
+    return met.filter("table <> ref_table").select("table", "column", "ref_table", "ref_column", confidence.alias("confidence")).distinct()
 
 
 def foreign_key(src: DataFrame, src_column: str, ref: DataFrame, ref_column: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.operators.schemas import edge_weight
+
 #: Weights of schema edges. Fixed values.
 KEY_WEIGHT, PLAIN_WEIGHT, REFERENCE_WEIGHT, COLUMN_PAIR_WEIGHT = 1.8, 1.0, 1.8, 1.2
 
@@ -22,7 +24,7 @@ def schema_graph(columns: DataFrame, references: DataFrame) -> tuple[DataFrame,
     refs = references.select(F.col("table").alias("src"), name.alias("dst"), F.lit(REFERENCE_WEIGHT).alias("weight"))
     pairs = references.select(name.alias("src"), F.concat_ws(".", "ref_table", "ref_column").alias("dst"), F.lit(COLUMN_PAIR_WEIGHT).alias("weight"))
     one_way = own.union(refs).union(pairs).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    both = one_way.union(one_way.select(F.col("dst"), F.col("src"), "weight")).dropDuplicates(["src", "dst"])
+    both = one_way.union(one_way.select(F.col("dst"), F.col("src"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     ends = nodes.select("node")
     return nodes, both.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
@@ -49,8 +51,9 @@ def node_features(nodes: DataFrame, degrees: DataFrame, profile: DataFrame) -> D
     return wide.select("node", F.array_repeat(F.lit(0.5), 5).alias("meaning"), structure.alias("structure"), stats.alias("stats"))
 
 
-def reweight(edges: DataFrame, features: DataFrame, block_weights: tuple[float, float, float] = (0.4, 0.3, 0.3), own: tuple[float, float] = (0.4, 0.6)) -> DataFrame:
-    """Edges only: weight times (own[0] * Gaussian kernel of the ends' features + own[1] * 1)."""
+def reweight(edges: DataFrame, features: DataFrame, blocks: DataFrame, block_weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """Edges (src, dst, weight) only: the weight times a share of the Gaussian kernel of the ends' features and
+    a share of the means of the edge's own blocks (src, dst, relation, meaning, types)."""
     def kernel(c: str):
         d2 = F.aggregate(F.zip_with(f"a_{c}", f"b_{c}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
         return F.exp(-0.8 * d2)
@@ -58,4 +61,5 @@ def reweight(edges: DataFrame, features: DataFrame, block_weights: tuple[float,
     side = lambda p, k: features.select(F.col("node").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("meaning", "structure", "stats")])
     wide = edges.join(side("a", "src"), "src").join(side("b", "dst"), "dst")
     like = sum((w * kernel(c) for w, c in zip(block_weights, ("meaning", "structure", "stats"), strict=True)), F.lit(0.0))
-    return wide.select("src", "dst", (F.col("weight") * (own[0] * like + own[1])).alias("weight"))
+    own = edge_weight(like, [F.col("relation"), F.col("meaning"), F.col("types")])
+    return wide.join(blocks, ["src", "dst"]).select("src", "dst", (F.col("weight") * own).alias("weight"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import communities, graph, running, tokens
 from quillgraph.registry import query
-from quillgraph.session import table
+from quillgraph.session import scratch_path, table
+from quillgraph.sources import caches
 
 
 @query(r"""WITH c AS (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 1100)) AS start FROM documents WHERE length(text) > 0)
@@ -35,3 +36,18 @@ def place_communities(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("u"), (F.col("n_nationkey") + 100).cast("long").alias("v"))
     s = table(spark, sf, "supplier").select((F.col("s_nationkey") + 100).cast("long").alias("u"), (F.col("s_suppkey") + 1000).alias("v"))
     return communities.communities(graph.cut(graph.adjacency(n.union(s).withColumn("w", F.lit(1.0)))))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id::VARCHAR AS key, user_id % 3 AS batch FROM events), k AS (SELECT key FROM u ORDER BY batch DESC, key DESC LIMIT 100)
+SELECT key, key IN (FROM k) AS hit, CASE WHEN key IN (FROM k) THEN 2 * key::BIGINT END AS value, false AS stale_hit FROM u""")
+def bounded_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of users in a cache of 100 entries, asked for all users, and again once the graph changed."""
+    users = table(spark, sf, "events").select("user_id").distinct()
+    graph_ = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    now, later = caches.version_of(graph_), caches.version_of(graph_.filter("n_nationkey > 0"))
+    cache = caches.Cache(spark, scratch_path(spark, "cache"), "long", 100)
+    for k in range(3):
+        cache.put(users.filter(F.col("user_id") % 3 == k).select(F.col("user_id").cast("string").alias("key"), (2 * F.col("user_id")).alias("value")), now)
+    keys = users.select(F.col("user_id").cast("string").alias("key"))
+    again = cache.get(keys, later).select("key", F.col("hit").alias("stale_hit"))
+    return cache.get(keys, now).join(again, "key").select("key", "hit", "value", "stale_hit")

@@ -281,12 +281,47 @@ def ranked_path_rows(spark: SparkSession, sf: str) -> DataFrame:
     return schema_graph.ranked_paths(sure, found).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query(f"""WITH {_SCHEMA}, x AS (SELECT t, c, is_key FROM s WHERE t < 'Brand#2') SELECT t AS src, t || '.' || c AS dst, CASE WHEN is_key THEN 1.8 ELSE 1.0 END::DOUBLE AS weight FROM x UNION ALL SELECT t || '.' || c, t, CASE WHEN is_key THEN 1.8 ELSE 1.0 END FROM x""")
+_GRAPH = f"""{_SCHEMA}, {_REFS}, o AS (SELECT t AS src, t || '.' || c AS dst, CASE WHEN is_key THEN 1.8 ELSE 1.0 END::DOUBLE AS w FROM s UNION ALL SELECT t, t || '.' || c, 1.8 FROM r UNION ALL SELECT t || '.' || c, rt || '.' || rc, 1.2 FROM r),
+g AS (SELECT src, dst, max(w) AS weight FROM (SELECT src, dst, max(w) AS w FROM o GROUP BY ALL UNION ALL SELECT dst, src, max(w) FROM o GROUP BY ALL) z GROUP BY ALL)"""
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst, weight FROM g")
 def schema_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     from quillgraph.plans import schema_graph
 
-    s = _schema(spark, sf).filter("table < 'Brand#2'").select("table", "column", "is_key")
-    return schema_graph.schema_graph(s, _references(spark, sf).filter("false"))[1].select("src", "dst", "weight")
+    return schema_graph.schema_graph(_schema(spark, sf).select("table", "column", "is_key"), _references(spark, sf))[1].select("src", "dst", "weight")
+
+
+def _kernel_sql(block: str) -> str:
+    return f"exp(-0.8::DOUBLE * list_sum(list_transform(list_zip(a.{block}, b.{block}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+
+
+@query(f"""WITH {_GRAPH}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) z GROUP BY 1), k AS (SELECT DISTINCT t || '.' || c AS node FROM r),
+n AS (SELECT DISTINCT t AS node, t AS tab, NULL AS type, false AS is_key, NULL::BIGINT AS pos FROM s UNION ALL SELECT t || '.' || c, t, CASE pos % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'text' ELSE 'time' END, is_key, pos FROM s),
+f AS (SELECT node, tab, type, is_key, node IN (FROM k) AS is_ref, pos, [least(1, coalesce(degree, 0) / 20), (pos IS NULL)::INT, (pos IS NOT NULL)::INT, is_key::INT, (node IN (FROM k))::INT]::DOUBLE[] AS structure,
+[coalesce((type = 'integer')::INT, 0), coalesce((type = 'text')::INT, 0), coalesce((type = 'time')::INT, 0), coalesce(pos % 10 / 10, 0.5), 0.5]::DOUBLE[] AS stats FROM n LEFT JOIN d USING (node)),
+w AS (SELECT src, dst, weight, a.*, b.tab AS btab, b.type AS btype, b.is_key AS bkey, b.is_ref AS bref, 0.4 + 0.3 * {_kernel_sql('structure')} + 0.3 * {_kernel_sql('stats')} AS alike, list_distinct(string_split(lower(split_part(src, '.', -1)), '_')) AS x, list_distinct(string_split(lower(split_part(dst, '.', -1)), '_')) AS y
+FROM g JOIN f a ON a.node = src JOIN f b ON b.node = dst)
+SELECT src, dst, round(weight * (0.4 * alike + 0.6 * (0.4 * (1 + (is_key OR bkey)::INT + (is_ref OR bref)::INT) / 5 + 0.4 * (len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) + 2) / 5
++ 0.2 * (CASE WHEN type IS NULL OR btype IS NULL THEN 0.5 WHEN type = btype THEN 1 ELSE 0 END + (tab = btab)::INT) / 2)), 9)::DOUBLE AS weight FROM w""")
+def reweighted_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole schema graph, references among it, weighted anew by its nodes' and its edges' features."""
+    from quillgraph.operators import graph
+    from quillgraph.plans import schema_graph
+
+    s, refs = _schema(spark, sf), _references(spark, sf)
+    nodes, edges = schema_graph.schema_graph(s.select("table", "column", "is_key"), refs)
+    edges = graph.cut(edges)
+    name = F.concat_ws(".", "table", "column")
+    kind = F.element_at(F.array(*map(F.lit, ("integer", "text", "time"))), (F.col("pos") % 3 + 1).cast("int"))
+    referring = refs.select(name.alias("node")).distinct().withColumn("is_reference", F.lit(True))
+    own = s.select(name.alias("node"), "table", kind.alias("kind"), "is_key", (F.col("pos") % 10 / 10).alias("cardinality"), F.lit(0.5).alias("nullability"))
+    whole = s.select(F.col("table").alias("node"), "table", F.lit(None).cast("string"), F.lit(False), F.lit(None).cast("double"), F.lit(0.5)).distinct()
+    profile = own.union(whole).join(referring, "node", "left").na.fill(False, ["is_reference"])
+    features = schema_graph.node_features(nodes.distinct(), graph.degrees(edges), profile.drop("table"))
+    kinds = edges.withColumn("kind", F.when(F.contains("src", F.lit(".")) & F.contains("dst", F.lit(".")), "reference").otherwise("table_column"))
+    blocks = schemas.edge_features(kinds, profile.withColumnRenamed("kind", "type_name"))
+    return schema_graph.reweight(edges, features, blocks).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
 _EW = """0.4 * (0.5 + node / 200.0) + 0.6 * (0.4 * (1 + CASE WHEN k THEN 1 ELSE 0 END) / 5.0 + 0.4 * (1 + 4 * 0.5) / 5.0 + 0.2 * (CASE WHEN k THEN 1 ELSE 0 END + 1) / 2.0)"""

@@ -58,10 +58,15 @@ def node_edges(spark: SparkSession, sf: str) -> DataFrame:
     return stores.out_edges(e, ids).select(F.lit("out").alias("way"), "src", "dst").union(stores.in_edges(e, ids).select(F.lit("in"), "src", "dst"))
 
 
+def _every_seventh(spark: SparkSession, sf: str) -> DataFrame:
+    both = table(spark, sf, "part").select(F.col("p_partkey").alias("node")).union(table(spark, sf, "supplier").select("s_suppkey"))
+    return both.filter("node % 7 = 0").distinct()
+
+
 @query(f"WITH e AS ({_PAIRS}) SELECT 'node' AS kind, p_partkey AS a, NULL::BIGINT AS b FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT 'edge', src, dst FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0")
 def delete_nodes(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
-    left, edges = graph.drop_nodes(nodes, _pairs(spark, sf), spark.range(0, 7_000_000, 7).select(F.col("id").alias("node")))
+    left, edges = graph.drop_nodes(nodes, _pairs(spark, sf), _every_seventh(spark, sf))
     return left.select(F.lit("node").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b")).union(edges.select(F.lit("edge"), "src", "dst"))
 
 

@@ -21,8 +21,10 @@ class KeyValueTable:
             return self.spark.createDataFrame([], self.schema)
 
     def insert_if_absent(self, rows: DataFrame) -> DataFrame:
-        """Appends rows with new ids, one of each id, and returns them."""
-        new = rows.dropDuplicates(["id"]).join(self.read().select("id"), "id", "left_anti").select(*self.read().columns)
+        """Appends rows with new ids, of an id the row that is smallest field by field, and returns them."""
+        columns = self.read().columns
+        one = rows.groupBy("id").agg(F.min(F.struct(*[c for c in columns if c != "id"])).alias("row")).select("id", "row.*")
+        new = one.join(self.read().select("id"), "id", "left_anti").select(*columns)
         new = new.checkpoint(eager=True)
         new.write.mode("append").parquet(self.path)
         return new

@@ -102,7 +102,8 @@ def test_schema_graph_texts(spark):
     got = {r["table"]: (r["columns"], r["references"]) for r in schemas.schema_details(nodes, e).collect()}
     assert got == {"T": (["ID", "R"], ["T.R = S.ID"]), "S": (["ID"], ["S.ID = T.R"])}
     flat = nodes.select("node", F.array(F.lit(1.0)).alias("meaning"), F.array(F.lit(0.0)).alias("structure"), F.array(F.lit(0.5)).alias("stats"))
-    assert all(abs(r["weight"] - r["w"]) < 1e-9 for r in schema_graph.reweight(e, flat).join(e.withColumnRenamed("weight", "w"), ["src", "dst"]).collect())
+    ones = e.select("src", "dst", *[F.array(F.lit(1.0)).alias(x) for x in ("relation", "meaning", "types")])
+    assert all(abs(r["weight"] - r["w"]) < 1e-9 for r in schema_graph.reweight(e, flat, ones).join(e.withColumnRenamed("weight", "w"), ["src", "dst"]).collect())
 
 
 def test_catalog_and_fetching(spark):
