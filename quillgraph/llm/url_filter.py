@@ -13,10 +13,11 @@ towards the host's, the host's towards the share of all. A template is rejected
 purity is high.
 
 Paths are counted by (host, shape) first, so a host with a third of all pages is a few rows; the
-tree is built level by level on those counts.
+tree is built level by level on those counts. A path that no other shares its template with keeps
+the rest of its segments, so there are as many levels as paths go on together.
 
 Defined results: null urls and urls without :// have an empty host and path, fit no rule and are
-judged as any other; what lies below level max_depth is one wildcard segment; siblings with equal
+judged as any other; paths of any length and depth are read whole; siblings with equal
 shares are taken in order of their templates and merge; a purity exactly at the limit rejects;
 repeated rows are judged each and counted each; other columns, whatever their names, are left out;
 an empty table gives no rows.
@@ -25,6 +26,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 @dataclass(frozen=True)
 class TreeSettings:
-    max_depth: int = 12
+    #: Levels of the tree, what lies below being one segment; None: all that paths have.
+    max_depth: int | None = None
     fan_out: int = 20
     #: Labelled pages that the prior counts as.
     weight: float = 5.0
@@ -67,27 +70,37 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Segments with numbers and hashes as wildcards; what lies below the last level is one segment."""
+def shape(path: Column, depth: int | None) -> Column:
+    """Segments with numbers and hashes as wildcards; what lies below the last level, if there is one, is one segment."""
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     ending = lambda x: F.regexp_extract(x, r"(\.[A-Za-z0-9]{1,5})$", 1)
     numbered = lambda x: x.rlike(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$") | x.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}(\.[A-Za-z0-9]{1,5})?$")
     general = F.transform(segments, lambda x: F.when(numbered(x), F.concat(F.lit("*"), ending(x))).otherwise(x))
+    if depth is None:
+        return general
     return F.when(F.size(general) > depth, F.concat(F.slice(general, 1, depth - 1), F.array(F.lit("**")))).otherwise(general)
 
 
 def template_verdicts(pages: DataFrame, settings: TreeSettings, scratch: Scratch) -> DataFrame:
     """(host, shape, template, purity) of pages (host, shape, verdict)."""
     counts = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    nodes = scratch.write(counts.withColumn("template", F.lit("")), "counts")
-    depth = nodes.agg(F.coalesce(F.max(F.size("shape")), F.lit(0))).head()[0]
-    for level in range(depth):  # at most max_depth
+    columns = counts.columns
+    open_, ended, level = scratch.write(counts.withColumn("template", F.lit("")), "counts"), [], 0
+    while True:
         child = F.get("shape", F.lit(level))
-        wide = nodes.groupBy("host", "template").agg(F.count_distinct(child).alias("children")).filter(F.col("children") > settings.fan_out).select("host", "template", F.lit(True).alias("variable"))
-        joined = nodes.join(wide, ["host", "template"], "left")
-        name = F.when(F.col("variable"), F.lit("*")).otherwise(child)
-        nodes = joined.withColumn("template", F.when(child.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))).drop("variable")
-        nodes = scratch.write(nodes, f"level-{level}")  # read twice by the next level
+        groups = open_.groupBy("host", "template").agg(F.count("*").alias("alike"), F.count_distinct(child).alias("children"))
+        rest = F.array_join(F.transform(F.slice("shape", level + 1, F.greatest(F.lit(0), F.size("shape") - level)), lambda x: F.concat(F.lit("/"), x)), "")
+        last = (F.col("alike") == 1) | (F.size("shape") <= level)
+        name = F.when(F.col("children") > settings.fan_out, F.lit("*")).otherwise(child)
+        named = F.concat("template", F.when(last, rest).otherwise(F.concat(F.lit("/"), name)))
+        step = open_.join(groups, ["host", "template"]).select(*columns, named.alias("template"), (~last & (F.size("shape") > level + 1)).alias("open"))
+        step = scratch.write(step, f"level-{level}")
+        ended.append(step.filter("not open").drop("open"))
+        open_ = step.filter("open").drop("open")
+        level += 1
+        if open_.isEmpty():
+            break
+    nodes = reduce(DataFrame.union, ended)
 
     templates = nodes.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)).groupBy("host", "parent", "template").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b"))
     templates = scratch.write(templates, "templates")

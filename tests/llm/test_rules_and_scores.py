@@ -108,7 +108,7 @@ def tree_by_hand(urls, rules, s):
             ending = re.search(r"\.[A-Za-z0-9]{1,5}$", x)
             number = re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]{1,5})?", x) or re.fullmatch(r"(?=.*[0-9])[0-9a-fA-F-]{8,}(\.[A-Za-z0-9]{1,5})?", x)
             shape.append("*" + (ending[0] if ending else "") if number else x)
-        if len(shape) > s.max_depth:
+        if s.max_depth and len(shape) > s.max_depth:
             shape = [*shape[: s.max_depth - 1], "**"]
         pages.append((url, host, shape, max(fits)[1] if fits else None))
     names = ["" for _ in pages]
@@ -165,6 +165,18 @@ def test_url_tree_equals_brute_force(spark):
         assert math.isclose(r["purity"], purity, rel_tol=1e-9) and (r["verdict"] == verdict or abs(purity - settings.reject) < 1e-9), urls[r["page_id"]]
 
 
+def test_url_tree_of_deep_paths(spark):
+    """Paths that go on together far below, long ones of their own, and a wide level at depth 15."""
+    same = "/".join("abcdefghijklmn")
+    urls = [f"http://x.{end}/{lang}/{same}/w{i}/z{i % 3}" for end in ("com", "net") for lang in ("de", "fr") for i in range(25)]
+    urls += [f"http://y.com/{lang}/{same}/q/r/{k}" for lang in ("de", "es") for k in "st"] + ["http://y.net/" + "k/" * 900, "http://z.net/" + "k/" * 3 + "e", "http://z.net/" + "k/" * 3]
+    settings = url_filter.TreeSettings()
+    want = tree_by_hand(urls, url_filter.RULES, settings)
+    for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), settings=settings).collect():
+        verdict, purity, _ = want[urls[r["page_id"]]]
+        assert math.isclose(r["purity"], purity, rel_tol=1e-9) and r["verdict"] == verdict, urls[r["page_id"]][:60]
+
+
 def test_url_tree_tells_templates_of_a_host_apart(spark):
     """No rule fits net: /es/ is blocked and /fr/ allowed wherever they are labelled."""
     urls = [f"http://h{i % 4}.{end}/{lang}/{i}" for end in ("com", "net", "example.org") for lang in ("de", "en", "es", "fr") for i in range(60)]
