@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) with the columns of documents and works o
 predecessor kept. Quality rules and toxicity drop documents and the lines that quality rules found
 to be boilerplate; of near-duplicates the one with the smallest doc_id stays; personal data is
 masked; packing returns the pieces of all remaining documents. n_chars follows the text.
+
+Defined results: null and empty texts have no words and fail the quality rules, so no later stage sees
+them; texts of any length go through every stage whole; rows of one id are judged each, but as
+near-duplicates an id goes or stays with all its rows; a null doc_id is judged like any other and is no
+near-duplicate of anything; of documents that are alike the smallest id stays; other columns, whatever
+their names, are left out; empty tables give no rows, and without labels no document is toxic.
 """
 
 from __future__ import annotations

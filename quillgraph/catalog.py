@@ -541,4 +541,4 @@ def round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.pmod("event_id", F.lit(3)).cast("long").alias("model"))
 
 
-from quillgraph import queries_evaluation, queries_lineage, queries_linking, queries_retrieval, queries_runs, queries_schema, queries_stores, queries_values  # noqa: E402, F401  they register themselves
+from quillgraph import queries_evaluation, queries_files, queries_lineage, queries_linking, queries_retrieval, queries_runs, queries_schema, queries_stores, queries_values  # noqa: E402, F401  they register themselves

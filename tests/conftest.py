@@ -12,5 +12,6 @@ def spark():
 
     s = build_session("tests", cores=4)
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "4")
     yield s
     s.stop()
