@@ -12,7 +12,7 @@ from quillgraph.session import scratch_path, table
 
 
 def _words(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return table(spark, sf, name).select("*", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).filter("length(word) >= 5")
+    return table(spark, sf, name).select("*", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).filter("length(word) >= 11")
 
 
 def _values(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _keywords(spark: SparkSession, sf: str) -> DataFrame:
 def _index(spark: SparkSession, sf: str) -> value_index.ValueIndex:
     """Made in two additions, the second of which holds the first, and opened anew."""
     path = scratch_path(spark, "value-index")
-    made = value_index.ValueIndex.create(spark, path)
+    made = value_index.ValueIndex.create(spark, path, value_index.IndexSettings(bands=48, rows=3))
     made.add(_values(spark, sf).filter("`table` in ('en', 'part')"))
     made.add(_values(spark, sf))
     made.close()
@@ -38,8 +38,8 @@ def _index(spark: SparkSession, sf: str) -> value_index.ValueIndex:
 
 
 _VALUE_SQL = r"""w AS (SELECT lang, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'))) AS word FROM documents),
-v AS (SELECT DISTINCT lang AS t, 'word' AS c, word AS value FROM w WHERE length(word) >= 5 UNION SELECT 'part', 'p_name', p_name FROM part UNION SELECT 'part', 'p_type', p_type FROM part),
-k AS (SELECT DISTINCT left(word, length(word) - 1) AS k FROM (SELECT unnest(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'))) AS word FROM benchmark) b WHERE length(word) >= 5),
+v AS (SELECT DISTINCT lang AS t, 'word' AS c, word AS value FROM w WHERE length(word) >= 11 UNION SELECT 'part', 'p_name', p_name FROM part UNION SELECT 'part', 'p_type', p_type FROM part),
+k AS (SELECT DISTINCT left(word, length(word) - 1) AS k FROM (SELECT unnest(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'))) AS word FROM benchmark) b WHERE length(word) >= 11),
 vg AS (SELECT DISTINCT t, c, value, unnest(list_transform(generate_series(1, length(value) - 2), lambda i: substr(value, i, 3))) AS g FROM v),
 kg AS (SELECT DISTINCT k, unnest(list_transform(generate_series(1, length(k) - 2), lambda i: substr(k, i, 3))) AS g FROM k),
 vn AS (SELECT t, c, value, count(*) AS n FROM vg GROUP BY ALL), kn AS (SELECT k, count(*) AS n FROM kg GROUP BY ALL),
@@ -47,10 +47,10 @@ p AS (SELECT k, t, c, value, count(*) AS n FROM kg JOIN vg USING (g) GROUP BY AL
 
 
 @query(f"""WITH {_VALUE_SQL}, s AS (SELECT k, t, c, value, round(p.n / (kn.n + vn.n - p.n), 6) AS score FROM p JOIN kn USING (k) JOIN vn USING (t, c, value))
-SELECT k AS keyword, t AS "table", c AS "column", value, score, place FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, t, c, value)::INT AS place FROM s WHERE score >= 0.5) x WHERE place <= 10""")
+SELECT k AS keyword, t AS "table", c AS "column", value, score, place FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, t, c, value)::INT AS place FROM s WHERE score >= 0.6) x WHERE place <= 10""")
 def value_index_hits(spark: SparkSession, sf: str) -> DataFrame:
     keywords = _keywords(spark, sf).select(F.col("keyword").alias("kid"), "keyword")
-    return _index(spark, sf).probe(keywords, 10, 0.5).withColumnRenamed("kid", "keyword")
+    return _index(spark, sf).probe(keywords, 10, 0.6).withColumnRenamed("kid", "keyword")
 
 
 def letter_counts(texts: list[str]) -> np.ndarray:
@@ -123,11 +123,11 @@ def settled_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bridge_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Values of parts and places that a question about each part spells out, one letter short or as its owner."""
+    """Values of parts and places that the questions about parts spell out, one letter short or as an owner."""
     p = table(spark, sf, "part")
-    text = F.concat(F.lit("Which "), F.lower("p_type"), F.lit(" part is the "), F.regexp_replace("p_name", "(.)$", ""), F.lit(" of "), F.lower("p_brand"), F.lit(" or "), F.lit("nation_"), (F.col("p_size") % 25).cast("string"), F.lit("'s "), F.col("p_name"), F.lit("?"))
+    text = F.concat(F.lit("Which "), F.regexp_replace("p_name", "(.)$", ""), F.lit(" is of "), F.lower("p_brand"), F.lit(" or nation_1's "), F.col("p_name"), F.lit("?"))
     n = table(spark, sf, "nation").select(F.lit("nation").alias("table"), F.lit("n_name").alias("column"), F.col("n_name").alias("value"))
-    return bridge.bridge_matches(p.select(F.col("p_partkey").alias("qid"), text.alias("text")), _cells(spark, sf).withColumn("column", F.replace("column", F.lit("p_name"), F.lit("p_label"))).union(n))
+    return bridge.bridge_matches(p.select(text.alias("qid"), text.alias("text")).distinct(), _cells(spark, sf).withColumn("column", F.replace("column", F.lit("p_name"), F.lit("p_label"))).union(n))
 
 
 # ---- descriptions: each part's name, type and brand as a column of its type's table

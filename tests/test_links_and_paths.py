@@ -97,7 +97,7 @@ def plain_path(edges, x, source, target):
     return False, back(best, hops, max(best, key=lambda n: (best[n], x[n], -n)))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_paths_equal_plain_search(spark, seed):
     edges, x = made_graph(seed)
     adj = graph.cut(graph.adjacency(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "u long, v long, w double")))
