@@ -24,12 +24,13 @@ def question_ngrams(questions: DataFrame, most: int = 5) -> DataFrame:
 
 def schema_links(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(qid, name, kind, n): names (name, words) that a question says whole, or by its words' beginning
-    (equal first word, an equi-join; then tested)."""
+    (equal first word, an equi-join; then tested). Names are met where the grams are dealt by their words:
+    grams are many times the questions that the planner knows of, so they are neither sent whole nor sorted."""
     grams = question_ngrams(questions)
-    exact = grams.join(names, grams["gram"] == names["words"]).select("qid", "name", F.lit("exact").alias("kind"), "n")
+    exact = grams.join(names.hint("shuffle_hash"), grams["gram"] == names["words"]).select("qid", "name", F.lit("exact").alias("kind"), "n")
     first = grams.filter("length(gram) > 2").withColumn("head", F.split_part("gram", F.lit(" "), F.lit(1)))
     heads = names.withColumn("head", F.split_part("words", F.lit(" "), F.lit(1)))
-    part = first.join(heads, "head").filter("words <> gram and startswith(words, concat(gram, ' '))").select("qid", "name", F.lit("prefix").alias("kind"), "n")
+    part = first.join(heads.hint("shuffle_hash"), "head").filter("words <> gram and startswith(words, concat(gram, ' '))").select("qid", "name", F.lit("prefix").alias("kind"), "n")
     # a name said whole isn't linked by its beginning as well
     best = F.min(F.struct("kind", (-F.col("n")).alias("m"))).alias("p")
     return exact.union(part).groupBy("qid", "name").agg(best).select("qid", "name", "p.kind", (-F.col("p.m")).alias("n"))
@@ -39,7 +40,7 @@ def cell_links(questions: DataFrame, values: DataFrame) -> DataFrame:
     """(qid, pos, column): question words that are a word of a value (column, value)."""
     w = question_ngrams(questions, 1).select("qid", "pos", F.col("gram").alias("word"))
     v = values.select("column", F.explode(F.array_distinct(F.split(F.lower("value"), r"[^\p{L}\p{N}_]+"))).alias("word")).filter("word <> ''").distinct()
-    return w.join(v, "word").select("qid", "pos", "column")
+    return w.join(v.hint("shuffle_hash"), "word").select("qid", "pos", "column")
 
 
 def islands(links: DataFrame) -> DataFrame:

@@ -40,3 +40,17 @@ def test_chunks_are_made_in_pieces(spark):
     by = {r[0]: tuple(r)[1:] for r in got}
     assert len(by) == 699 and by[None] == by[2**60 + 1] == (2, 2100, 1100) and 2**60 + 5 not in by
     assert by[2**60 + 9] == (328, 360000 + 327 * 100, 327 * 1100)
+
+
+@pytest.fixture(scope="module")
+def words(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("w") / "q")
+    spark.createDataFrame([(1, "Large red ring"), (2, "small ring")], "qid long, text string").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def test_grams_are_not_sent_whole(spark, words):
+    names = spark.createDataFrame([("a", "red ring"), ("b", "ring of fire")], "name string, words string")
+    links = linking.schema_links(words, names)
+    assert not any("explode" in line for line in sent(links))
+    assert sorted(map(tuple, links.collect())) == [(1, "a", "exact", 2), (1, "b", "prefix", 1), (2, "b", "prefix", 1)]
