@@ -34,7 +34,7 @@ def value_words(values: DataFrame) -> DataFrame:
 def runs(links: DataFrame) -> DataFrame:
     """links (qid, table, column, pos, word) with start and length of the run of neighbouring positions."""
     order = Window.partitionBy("qid", "table", "column").orderBy("pos")
-    once = links.select("qid", "table", "column", "pos", "word").distinct()
+    once = links.select("qid", "table", "column", "pos", "word").repartition("qid").distinct()  # dealt once, for all that follows
     marked = once.withColumn("run", F.col("pos") - F.row_number().over(order))
     return marked.groupBy("qid", "table", "column", "run").agg(
         F.min("pos").alias("start"), F.count("*").cast("int").alias("length"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase")
@@ -44,11 +44,12 @@ def runs(links: DataFrame) -> DataFrame:
 def cell_phrases(questions: DataFrame, values: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     """(qid, table, column, start, length, phrase, kind): runs of a question's words that are words of a
     column's values; kind is exact where the run is a value, else partial. Numbers and stop words link with
-    nothing, and so end a run."""
+    nothing, and so end a run. Words of questions stream past those of the values, which alone are held:
+    a word that many questions share takes time in its task, not memory."""
     asked = question_words(questions).filter(~F.col("word").isin(*stop) & F.col("word").try_cast("double").isNull())
-    found = runs(asked.join(value_words(values), "word"))
+    found = runs(asked.join(value_words(values).hint("shuffle_hash"), "word"))
     whole = values.select("table", "column", F.lower(F.trim("value")).alias("phrase"), F.lit("exact").alias("kind")).distinct()
-    return found.join(whole, ["table", "column", "phrase"], "left").select("qid", "table", "column", "start", "length", "phrase", F.coalesce("kind", F.lit("partial")).alias("kind"))
+    return found.join(whole.hint("shuffle_hash"), ["table", "column", "phrase"], "left").select("qid", "table", "column", "start", "length", "phrase", F.coalesce("kind", F.lit("partial")).alias("kind"))
 
 
 def number_links(questions: DataFrame, columns: DataFrame) -> DataFrame:

@@ -54,3 +54,10 @@ def test_grams_are_not_sent_whole(spark, words):
     links = linking.schema_links(words, names)
     assert not any("explode" in line for line in sent(links))
     assert sorted(map(tuple, links.collect())) == [(1, "a", "exact", 2), (1, "b", "prefix", 1), (2, "b", "prefix", 1)]
+
+
+def test_words_of_questions_are_neither_sent_nor_sorted_to_meet_cells(spark, words):
+    cells = words.select(F.lit("t").alias("table"), F.lit("c").alias("column"), F.split("text", " ")[1].alias("value"))
+    df = phrases.cell_phrases(words, cells)
+    assert not sent(df) and "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r)[3:] for r in df.collect()) == [(1, 1, "ring", "exact"), (1, 2, "red ring", "partial")]
