@@ -7,6 +7,10 @@ and a token belongs to the innermost scope around it. Tables and aliases of a sc
 FROM, JOIN and commas; a column is looked for in its own scope and then in those around it: by its
 qualifier, or without one by the schema, first table first.
 
+Statements are dealt once, by their id and before they become tokens; windows and joins within a
+statement then meet where it lies, and what is told of a statement (its scopes and common tables)
+stands beside its tokens. Only the schema is sent whole.
+
 It reads what queries are made of, not a grammar: text that is no query gives what looks like one.
 """
 
@@ -28,6 +32,8 @@ KEYWORDS = (
 _PARTS = ("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "FETCH", "QUALIFY", "WINDOW", "UNION", "INTERSECT", "EXCEPT")
 _COMPARISONS = ("=", "==", "<>", "!=", "<", ">", "<=", ">=", "<=>")
 _LIKES = ("LIKE", "ILIKE", "GLOB")
+#: Statements that a task reads at once; windows sort their tokens.
+STATEMENTS = 10_000
 _NAME = r'(?:[\p{L}_][\p{L}\p{N}_$]*|"(?:[^"]|"")*"|`[^`]*`|\[[^\]\[]*\])'
 _TOKEN = rf"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|{_NAME}(?:\s*\.\s*{_NAME})*(?:\s*\.\s*\*)?|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+|<=>|<>|<=|>=|!=|==|\|\||\S"
 
@@ -42,7 +48,9 @@ def tokens(statements: DataFrame) -> DataFrame:
     """(sid, pos, token, word, kind, depth) of statements (sid, sql): word is the token in upper case if it
     is a keyword, kind name, keyword, text, number or sign; a parenthesis counts to what it holds."""
     found = F.filter(F.regexp_extract_all("sql", F.lit(_TOKEN), F.lit(0)), lambda x: ~x.startswith("--") & ~x.startswith("/*"))
-    t = statements.select("sid", F.posexplode(found).alias("pos", "token"))
+    spark = statements.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), statements.count() // STATEMENTS + 1)
+    t = statements.select("sid", "sql").repartition(tasks, "sid").select("sid", F.posexplode(found).alias("pos", "token"))
     upper = F.upper("token")
     kind = F.when(F.col("token").startswith("'"), "text").when(F.col("token").rlike(r"^\.?\d"), "number").when(upper.isin(*KEYWORDS), "keyword").when(F.col("token").rlike(r'^[\p{L}_"`\[]'), "name").otherwise("sign")
     t = t.withColumn("kind", kind).withColumn("word", F.when((F.col("kind") == "keyword") | (F.col("kind") == "sign"), upper))
@@ -51,9 +59,9 @@ def tokens(statements: DataFrame) -> DataFrame:
     return t.withColumn("depth", opened - closed)
 
 
-def scoped(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tokens, scopes): tokens with group (place of the parenthesis around, -1 for none) and scope (place of
-    the SELECT they belong to); scopes (sid, scope, from_, to_, level), the stretch of each."""
+def scoped(statements: DataFrame) -> DataFrame:
+    """Tokens with group (place of the parenthesis around, -1 for none), scope (place of the SELECT they
+    belong to) and its level; scopes, the stretches (level, scope, from_, to_) of their statement."""
     t = tokens(statements)
     here = Window.partitionBy("sid", "depth").orderBy("pos")
     group = F.coalesce(F.max(F.when(F.col("token") == "(", F.col("pos"))).over(here), F.lit(-1))
@@ -61,11 +69,17 @@ def scoped(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = Window.partitionBy("sid", "group").orderBy("pos")
     ends = t.withColumn("next", F.min(F.when(F.col("word") == "SELECT", F.col("pos"))).over(inside.rowsBetween(1, Window.unboundedFollowing)))
     closed = F.max(F.when((F.col("token") == ")") & (F.col("group") >= 0), F.col("pos"))).over(Window.partitionBy("sid", "group"))
-    ends = ends.withColumn("end", F.coalesce(closed, F.max("pos").over(Window.partitionBy("sid"))))
-    scopes = ends.filter("word = 'SELECT'").select("sid", F.col("pos").alias("scope"), F.col("pos").alias("from_"), F.coalesce(F.col("next") - 1, "end").alias("to_"), F.col("depth").alias("level"))
-    around = (F.col("pos") >= F.col("from_")) & (F.col("pos") <= F.col("to_"))
-    best = t.join(scopes, "sid").filter(around).groupBy("sid", "pos").agg(F.max(F.struct("level", "scope")).alias("s"))
-    return t.join(best.select("sid", "pos", "s.scope", "s.level"), ["sid", "pos"], "left"), scopes
+    whole = Window.partitionBy("sid")
+    ends = ends.withColumn("end", F.coalesce(closed, F.max("pos").over(whole)))
+    stretch = F.struct(F.col("depth").alias("level"), F.col("pos").alias("scope"), F.col("pos").alias("from_"), F.coalesce(F.col("next") - 1, "end").alias("to_"))
+    t = ends.withColumn("scopes", F.collect_list(F.when(F.col("word") == "SELECT", stretch)).over(whole)).drop("next", "end")
+    best = F.array_max(around(F.col("pos")))
+    return t.withColumn("scope", best["scope"]).withColumn("level", best["level"])
+
+
+def around(pos: Column) -> Column:
+    """The scopes that a place stands in."""
+    return F.filter("scopes", lambda x: (pos >= x["from_"]) & (pos <= x["to_"]))
 
 
 def _beside(t: DataFrame) -> DataFrame:
@@ -91,8 +105,7 @@ class Lineage:
     compared without case and returned as the schema spells them."""
 
     def __init__(self, statements: DataFrame, schema: DataFrame):
-        t, self.scopes = scoped(statements)
-        self.tokens = _beside(t)
+        self.tokens = _beside(scoped(statements))
         self.schema = schema.select("table", "column", F.lower("table").alias("t"), F.lower("column").alias("c")).distinct()
         self.relations = self._relations()
 
@@ -101,24 +114,23 @@ class Lineage:
 
     def _relations(self) -> DataFrame:
         """(sid, scope, pos, alias, t): what FROM names; t is null for what isn't a table of the schema."""
-        t = self.tokens
         alias = F.when((F.col("a1.word") == "AS") & (F.col("a2.kind") == "name"), F.col("a2.token")).when(F.col("a1.kind") == "name", F.col("a1.token"))
-        named = t.filter(_is(self._names_relation()) & ~_is(F.col("a1.token") == "("))
-        named = named.select("sid", "scope", "pos", _last(F.coalesce(alias, "token")).alias("alias"), _last(F.col("token")).alias("t"))
-        held = t.filter((F.col("kind") == "name") & (F.col("a1.word") == "AS") & (F.col("a2.token") == "(") & F.col("a3.word").isin("SELECT", "WITH", "VALUES"))
-        ctes = held.select("sid", _last(F.col("token")).alias("t")).distinct()
-        named = named.join(self.schema.select("t").distinct().withColumn("known", F.lit(True)), "t", "left").join(ctes.withColumn("cte", F.lit(True)), ["sid", "t"], "left")
-        table = F.when(F.col("known") & F.col("cte").isNull(), F.col("t"))
+        held = (F.col("kind") == "name") & (F.col("a1.word") == "AS") & (F.col("a2.token") == "(") & F.col("a3.word").isin("SELECT", "WITH", "VALUES")
+        t = self.tokens.withColumn("ctes", F.collect_set(F.when(held, _last(F.col("token")))).over(Window.partitionBy("sid")))
+        t = t.withColumn("query", F.max(_is(F.col("word") == "SELECT")).over(Window.partitionBy("sid", "group")))
         # a query in parentheses has its name behind them
-        groups = t.filter("word = 'SELECT'").select("sid", "group").distinct()
-        derived = t.filter(F.col("token") == ")").join(groups, ["sid", "group"], "left_semi").filter(alias.isNotNull() & F.col("behind").isNotNull())
-        derived = derived.select("sid", F.col("behind").alias("scope"), "pos", _last(alias).alias("alias"), F.lit(None).cast("string").alias("t"))
-        return named.select("sid", "scope", "pos", "alias", table.alias("t")).union(derived)
+        derived = (F.col("token") == ")") & F.col("query") & alias.isNotNull() & F.col("behind").isNotNull()
+        named = _is(self._names_relation()) & ~_is(F.col("a1.token") == "(")
+        name = F.when(named, _last(F.col("token")))
+        found = t.filter(named | _is(derived)).select("sid", F.when(named, F.col("scope")).otherwise(F.col("behind")).alias("scope"), "pos", _last(F.when(named, F.coalesce(alias, "token")).otherwise(alias)).alias("alias"), name.alias("t"), "ctes")
+        known = F.broadcast(self.schema.select("t").distinct().withColumn("known", F.lit(True)))
+        table = F.when(F.col("known") & ~F.array_contains("ctes", F.col("t")), F.col("t"))
+        return found.join(known, "t", "left").select("sid", "scope", "pos", "alias", table.alias("t"))
 
     def tables(self) -> DataFrame:
         """(sid, table)."""
         names = self.schema.groupBy("t").agg(F.min("table").alias("table"))
-        return self.relations.filter("t is not null").select("sid", "t").distinct().join(names, "t").select("sid", "table")
+        return self.relations.filter("t is not null").select("sid", "t").distinct().join(F.broadcast(names), "t").select("sid", "table")
 
     def references(self) -> DataFrame:
         """(sid, pos, table, column): each token that names a column, with the table it is of."""
@@ -126,15 +138,15 @@ class Lineage:
         other = labels | self._names_relation() | (F.col("a1.token") == "(") | (F.col("a1.kind") == "text") | F.col("token").endswith("*")
         use = self.tokens.filter((F.col("kind") == "name") & F.col("scope").isNotNull() & ~_is(other))
         name = parts(F.col("token"))
-        use = use.select("sid", "pos", "scope", _last(F.col("token")).alias("c"), F.when(F.size(name) > 1, F.lower(F.element_at(name, -2))).alias("q"))
-        around = self.scopes.select("sid", F.col("scope").alias("outer"), "from_", "to_", "level")
-        seen = use.join(around, "sid").filter((F.col("scope") >= F.col("from_")) & (F.col("scope") <= F.col("to_"))).select("sid", "pos", "c", "q", "outer", "level")
-        met = seen.join(self.relations.select("sid", F.col("scope").alias("outer"), F.col("pos").alias("place"), "alias", "t"), ["sid", "outer"])
-        nearest = F.max_by(F.struct("t"), F.struct("level", -F.col("place"))).alias("x")  # in a struct, as a derived table's null counts
-        qualified = met.filter(F.col("q") == F.col("alias")).groupBy("sid", "pos", "c").agg(nearest)
-        plain = met.filter(F.col("q").isNull()).join(self.schema.select("t", "c").distinct(), ["t", "c"]).groupBy("sid", "pos", "c").agg(nearest)
+        use = use.select("sid", "pos", _last(F.col("token")).alias("c"), F.when(F.size(name) > 1, F.lower(F.element_at(name, -2))).alias("q"), F.explode(around(F.col("pos"))).alias("x"))
+        seen = use.select("sid", "pos", "c", "q", F.col("x.scope").alias("outer"), "x.level")
+        # of a table that has the column; a name that isn't one by its alias alone. Both sides lie by statement
+        offered = self.relations.select("sid", F.col("scope").alias("outer"), F.col("pos").alias("place"), "alias", "t")
+        met = seen.join(offered.hint("merge"), ["sid", "outer"]).filter(F.col("q").isNull() | (F.col("q") == F.col("alias")))
         spelt = self.schema.groupBy("t", "c").agg(F.min("table").alias("table"), F.min("column").alias("column"))
-        return qualified.union(plain).select("sid", "pos", "c", "x.t").join(spelt, ["t", "c"]).select("sid", "pos", "table", "column")
+        met = met.join(F.broadcast(spelt), ["t", "c"], "left").filter(F.col("q").isNotNull() | F.col("table").isNotNull())
+        nearest = F.max_by(F.struct("table", "column"), F.struct("level", -F.col("place"))).alias("x")  # in a struct, as a derived table's null counts
+        return met.groupBy("sid", "pos").agg(nearest).select("sid", "pos", "x.table", "x.column").filter(F.col("table").isNotNull())
 
     def columns(self) -> DataFrame:
         """(sid, table, column)."""
@@ -149,18 +161,18 @@ class Lineage:
         heads = t.filter((F.col("token") == "(") & (F.col("b1.word") == "IN") & ~_is(F.col("a1.word") == "SELECT"))
         heads = heads.select("sid", F.col("pos").alias("group"), (F.col("pos") - 2 - no("b2")).alias("at"))
         said = t.filter(F.col("kind").isin("text", "number"))
-        listed = said.filter(F.col("b1.token").isin("(", ",")).join(heads, ["sid", "group"]).select("sid", "at", "token", F.lit("IN").alias("how"))
+        listed = said.filter(F.col("b1.token").isin("(", ",")).join(heads.hint("merge"), ["sid", "group"]).select("sid", "at", "token", F.lit("IN").alias("how"))
         high = (F.col("b1.word") == "AND") & (F.col("b3.word") == "BETWEEN")
         how = F.when(F.col("b1.word").isin(*_COMPARISONS, *_LIKES, "BETWEEN"), F.col("b1.word")).when(high, F.lit("AND"))
         back = F.when(F.col("how") == "AND", F.lit(4) + no("b4")).otherwise(F.lit(2) + no("b2"))
         alone = said.withColumn("how", how).filter("how is not null").select("sid", (F.col("pos") - back).alias("at"), "token", F.when(F.col("how") == "AND", F.lit("BETWEEN")).otherwise(F.col("how")).alias("how"))
         inner = F.substr("token", F.lit(2), F.length("token") - 2)
         text = F.when(F.col("token").startswith("'"), F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(F.col("token"))
-        found = listed.union(alone).join(self.references().withColumnRenamed("pos", "at"), ["sid", "at"]).select("sid", "table", "column", text.alias("literal"), "how").distinct()
+        found = listed.union(alone).join(self.references().withColumnRenamed("pos", "at").hint("merge"), ["sid", "at"]).select("sid", "table", "column", text.alias("literal"), "how").distinct()
         if values is None:
             return found
         bare = F.when(F.col("how") == "IN", F.col("literal")).otherwise(F.replace("literal", F.lit("%"), F.lit("")))
         doubtful = found.filter(F.col("how").isin(*_LIKES, "IN")).withColumn("literal", bare)
         asked = doubtful.select("table", "column", "literal").distinct()
-        held = asked.join(values, ["table", "column"]).filter(F.contains(F.lower("value"), F.lower("literal"))).select("table", "column", "literal").distinct()
-        return found.filter(~F.col("how").isin(*_LIKES, "IN")).union(doubtful.join(held, ["table", "column", "literal"]).select(*found.columns)).distinct()
+        held = asked.join(values.hint("merge"), ["table", "column"]).filter(F.contains(F.lower("value"), F.lower("literal"))).select("table", "column", "literal").distinct()
+        return found.filter(~F.col("how").isin(*_LIKES, "IN")).union(doubtful.join(held.hint("shuffle_hash"), ["table", "column", "literal"]).select(*found.columns)).distinct()

@@ -61,3 +61,11 @@ def test_words_of_questions_are_neither_sent_nor_sorted_to_meet_cells(spark, wor
     df = phrases.cell_phrases(words, cells)
     assert not sent(df) and "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r)[3:] for r in df.collect()) == [(1, 1, "ring", "exact"), (1, 2, "red ring", "partial")]
+
+
+@pytest.mark.parametrize("what", ["tables", "columns", "literals"])
+def test_tokens_of_statements_are_not_sent_whole(spark, words, what):
+    statements = words.select(F.col("qid").alias("sid"), F.lit("SELECT a FROM t WHERE b IN (1, 2) AND a = 'x'").alias("sql"))
+    df = getattr(Lineage(statements, spark.createDataFrame([("t", "a"), ("t", "b")], "table string, column string")), what)()
+    assert not any("explode" in line or "sid" in line for line in sent(df))
+    assert df.count() == {"tables": 2, "columns": 4, "literals": 6}[what]
