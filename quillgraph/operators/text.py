@@ -99,9 +99,10 @@ def merge_edges(rows: DataFrame) -> DataFrame:
 
 def rank_text_units(seeds: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """(chunk, seed_order, relation_counts): chunks by the first seed (node, rank) that mentions them
-    and by how many neighbours over out-edges of mentioning seeds they mention too."""
+    and by how many neighbours over out-edges of mentioning seeds they mention too. Mentions meet each
+    other within a chunk; none are sent whole."""
     m = seeds.join(mentions, "node").select("node", "rank", "chunk")
     order = m.groupBy("chunk").agg(F.min("rank").alias("seed_order"))
     near = m.join(edges.select(F.col("src").alias("node"), "dst"), "node")
-    both = near.join(mentions.select(F.col("node").alias("dst"), "chunk"), ["dst", "chunk"]).groupBy("chunk").agg(F.count("*").alias("relation_counts"))
+    both = near.join(mentions.select(F.col("node").alias("dst"), "chunk").hint("merge"), ["dst", "chunk"]).groupBy("chunk").agg(F.count("*").alias("relation_counts"))
     return order.join(both, "chunk", "left").select("chunk", "seed_order", F.coalesce("relation_counts", F.lit(0)).alias("relation_counts"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import linking, phrases, tokens
+from quillgraph.operators import diffusion, graph, linking, phrases, text, tokens
 from quillgraph.operators.lineage import Lineage
 
 
@@ -69,3 +69,44 @@ def test_tokens_of_statements_are_not_sent_whole(spark, words, what):
     df = getattr(Lineage(statements, spark.createDataFrame([("t", "a"), ("t", "b")], "table string, column string")), what)()
     assert not any("explode" in line or "sid" in line for line in sent(df))
     assert df.count() == {"tables": 2, "columns": 4, "literals": 6}[what]
+
+
+def depth(line: str) -> int:
+    return len(line) - len(line.lstrip(" :+-"))
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_do_not_deal_the_edges_again(spark):
+    adj = graph.adjacency(spark.createDataFrame([(i, j, 1.0) for i in range(9) for j in range(i, 9, 2)], "u long, v long, w double"))
+    assert sorted(map(tuple, adj.filter("u = 0 or v = 0").collect())) == [(0, 0, 1.0), *[(0, j, 1.0) for j in (2, 4, 6, 8)], *[(j, 0, 1.0) for j in (2, 4, 6, 8)]]
+    assert plan(adj).count("Scan") == 1
+    moves, sinks, state = diffusion.start(adj, spark.createDataFrame([(0,)], "seed long"), 50.0, 0.7)
+    pushed = diffusion.push_round(moves, sinks, state)
+    lines = plan(pushed).splitlines()
+    for name, ends in (("w#", "u#"), ("sink#", "total#")):
+        at = next(i for i, line in enumerate(lines) if "FileScan" in line and name in line and ends in line)
+        over, least = [], depth(lines[at])
+        for line in reversed(lines[:at]):
+            if depth(line) < least:
+                over, least = [*over, line], depth(line)
+        assert "Join" in next(line for line in over if "Exchange" in line or "Join" in line)
+    assert abs(pushed.agg(F.sum("m")).head()[0] - 50 * 1.7 * 5) < 1e-9
+
+
+def test_mentions_are_not_sent_whole(spark, tmp_path):
+    spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12)], "node long, chunk long").write.parquet(str(tmp_path / "m"))
+    mentions = spark.read.parquet(str(tmp_path / "m"))
+    seeds, edges = spark.createDataFrame([(1, 1), (2, 2)], "node long, rank int"), spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    df = text.rank_text_units(seeds, mentions, edges)
+    assert not any("AS dst" in line and "chunk" in line for line in sent(df))
+    assert sorted(map(tuple, df.collect())) == [(10, 1, 1), (11, 2, 0)]
+
+
+def test_retrieval_of_seeds_runs_no_flow(spark, monkeypatch):
+    from quillgraph import catalog
+
+    monkeypatch.setattr(diffusion, "diffuse", None)
+    assert catalog.QUERIES["retrieval_seeds"](spark, "/root/testdata/sf0.001").count() == 4
