@@ -15,7 +15,8 @@ the first n - ceil(0.75 n) + 1 shingles of each in any common order; the smaller
 share 2 * 0.75 / 1.75 of its own, already in its first seventh or so. The order is rarest first by
 a table of hashed counts, so a shared passage or template brings few together. Every pair of open
 documents in different components that meets so and can still link by sizes and places is
-confirmed; hot shingles are cut in blocks, and none is left out. Links inside a component that is
+confirmed; hot shingles are cut in blocks, and none is left out: there only documents outside the
+shingle's largest component are sent to all blocks, as that component's own pairs change nothing. Links inside a component that is
 already joined change nothing and aren't confirmed.
 So a pair of similarity s is missed only if it is in no common region, with probability
 (1 - s^DEPTH)^TREES, 5e-6 at 0.75.
@@ -56,7 +57,7 @@ BATCH = 2000
 #: Slots of hashed shingle counts; they order shingles only, so clashes cost time, not links.
 COUNTS = 1 << 20
 #: Documents of one shingle that a task meets at once; more are cut in blocks.
-BLOCK = 256
+BLOCK = 512
 PERCENT = 75
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -323,13 +324,31 @@ def _across(live: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -
                 yield pd.DataFrame({"shingle": head.view(np.int64), "d": d, "c": c, "n": len(s), "at": np.arange(len(head))})
 
     heads = scratch.write(opened.mapInPandas(work, "shingle long, d long, c long, n long, at long"), "prefixes")
-    met = heads.groupBy("shingle").agg(F.count("*").alias("size"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
-    heads = heads.join(met.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "shingle")
-    short = F.col("at") <= F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")
-    one = heads.filter(short).withColumn("block", F.pmod(F.xxhash64("d"), "blocks").cast("int")).select("shingle", "block", *[F.col(x).alias(f"{x}_a") for x in ("d", "c", "n", "at")])
-    other = heads.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(x).alias(f"{x}_b") for x in ("d", "c", "n", "at")])
+    placed, sent = _dealt(heads, percent)
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("d_a") < F.col("d_b")))
-    sizes = 100 * F.col("n_a") >= percent * F.col("n_b")
+    once = F.col("major") | (F.col("d_a") < F.col("d_b"))
+    able = F.when(smaller, F.col("short_a")).otherwise(F.col("short_b"))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # a pair's first common shingle says how many more it can share
     room = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    return one.join(other, ["shingle", "block"]).filter(smaller & (F.col("c_a") != F.col("c_b")) & sizes & room).select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()
+    met = placed.join(sent, ["shingle", "major", "block"]).filter((F.col("c_a") != F.col("c_b")) & once & able & sizes & room)
+    return met.select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()
+
+
+def _dealt(heads: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(placed, sent) of shingles in several components: each row once in a block of its shingle, and the rows
+    that meet those of a block. Of a hot shingle the rows of its largest component (major) have blocks of
+    their own and are sent nowhere, so that a large group costs as many rows as there are others beside it."""
+    each = heads.groupBy("shingle", "c").agg(F.count("*").alias("m"))
+    met = each.groupBy("shingle").agg(F.sum("m").alias("size"), F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    hot = F.col("size") > BLOCK
+    cut = met.select("shingle", F.when(hot, F.col("top.c")).alias("top"), F.when(hot, blocks(F.col("top.m"))).otherwise(0).alias("large"), F.when(hot, blocks(F.col("size") - F.col("top.m"))).otherwise(1).alias("small"))
+    short = F.col("at") <= F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    rows = heads.join(cut, "shingle").withColumn("short", short).withColumn("major", F.coalesce(F.col("c") == F.col("top"), F.lit(False)))
+    named = lambda side: [F.col(x).alias(f"{x}_{side}") for x in ("d", "c", "n", "at", "short")]
+    placed = rows.select("shingle", "major", F.pmod(F.xxhash64("d"), F.when(F.col("major"), F.col("large")).otherwise(F.col("small"))).cast("int").alias("block"), *named("a"))
+    places = F.sequence(F.lit(0), F.col("small") + F.col("large") - 1)
+    sent = rows.filter("not major").select("shingle", "small", F.explode(places).alias("place"), *named("b"))
+    block = F.when(F.col("place") < F.col("small"), F.col("place")).otherwise(F.col("place") - F.col("small"))
+    return placed, sent.withColumn("major", F.col("place") >= F.col("small")).withColumn("block", block).drop("small", "place")
