@@ -1,5 +1,7 @@
 """What must not grow with the input in one place: sent to all tasks, held by one task, or dealt anew each round."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,60 @@ def test_retrieval_of_seeds_runs_no_flow(spark, monkeypatch):
 
     monkeypatch.setattr(diffusion, "diffuse", None)
     assert catalog.QUERIES["retrieval_seeds"](spark, "/root/testdata/sf0.001").count() == 4
+
+
+def grouped(spark, rows):
+    return graph.members(spark.createDataFrame(rows, "group long, place int, node long"))
+
+
+def test_edges_are_made_where_mass_arrives(spark, monkeypatch):
+    """A second component of any size costs a flow in the first one nothing: none of its edges is made."""
+    rng = random.Random(3)
+    rows = [(o + 1000 * part, n, p + 100 * part) for part in range(4) for o in range(40) for n, p in enumerate(rng.choices(range(30), k=3))]
+    rows += [(None, 1, 1), (None, 2, 2), (5000, None, 1), (5000, 2, 2), (5001, 1, None), (5001, 2, 2), (5002, 1, 1), (5002, 1, 2), (5003, 1, 1), (5003, 2, 1)]
+    orders = graph.written(grouped(spark, rows))
+    adj = graph.adjacency(graph.pairs(orders))
+    seeds = spark.createDataFrame([(1,), (2,), (-5,)], "seed long")
+    made = []
+
+    def near(nodes):
+        made.append(graph.cut(graph.near(orders, nodes)))
+        return made[-1]
+
+    def plain(df):
+        return sorted((r.seed, r.node, round(r.m, 9), round(r.x, 9), r.converged) for r in df.collect())
+
+    for rounds, alpha in ((3, 50.0), (12, 2.0)):
+        made.clear()
+        got = plain(diffusion.diffuse_near(near, seeds, alpha=alpha, rounds=rounds))
+        assert got == plain(diffusion.diffuse(adj, seeds, alpha=alpha, rounds=rounds)) and got
+        edges = [tuple(r) for df in made for r in df.collect()]
+        assert len(edges) == len(set(edges)) and all(u < 100 and v < 100 for u, v, _ in edges)
+        assert set(edges) <= {tuple(r) for r in adj.collect()}
+    # rows without group, place or node stand with nothing, nor does a node with itself or at one place
+    assert not graph.pairs(grouped(spark, rows[-10:])).count()
+    # many nodes are not sent whole, and come to the same
+    nodes = graph.cut(adj.select(F.col("u").alias("node")).distinct())
+    assert any("BroadcastExchange" in line for line in plan(graph.near(orders, nodes)).splitlines())
+    monkeypatch.setattr(graph, "FEW", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = graph.near(orders, nodes)
+        assert not sent(whole) and sorted(map(tuple, whole.collect())) == sorted(map(tuple, adj.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def dealt_whole(monkeypatch):
+    """From here on nothing may make all edges."""
+    for name in ("adjacency", "by_end", "pairs"):
+        monkeypatch.setattr(graph, name, None)
+    monkeypatch.setattr(diffusion, "by_end", None)
+
+
+@pytest.mark.parametrize("name", ["diffusion_converged"])
+def test_query_makes_no_edges_elsewhere(spark, monkeypatch, name):
+    from quillgraph import catalog
+
+    dealt_whole(monkeypatch)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
