@@ -163,7 +163,7 @@ def dealt_whole(monkeypatch):
     monkeypatch.setattr(diffusion, "by_end", None)
 
 
-@pytest.mark.parametrize("name", ["diffusion_converged", "diffusion_rounds", "retrieval_seeds", "retrieval_texts", "retrieval_cluster_edges", "retrieval_cluster_json", "retrieval_cluster_text"])
+@pytest.mark.parametrize("name", ["diffusion_converged", "diffusion_rounds", "retrieval_seeds", "retrieval_texts", "retrieval_cluster_edges", "retrieval_cluster_json", "retrieval_cluster_text", "retrieval_clusters"])
 def test_query_makes_no_edges_elsewhere(spark, monkeypatch, name):
     from quillgraph import catalog
 
