@@ -169,3 +169,34 @@ def test_query_makes_no_edges_elsewhere(spark, monkeypatch, name):
 
     dealt_whole(monkeypatch)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_ranks_leave_few_parts_and_edges_are_not_counted(spark, monkeypatch):
+    """A node's sum leaves every part: their number doesn't follow the shuffle partitions of a larger input."""
+    rng = random.Random(5)
+    orders = graph.written(grouped(spark, [(o, n, p) for o in range(60) for n, p in enumerate(rng.choices(range(25), k=rng.randint(1, 5)))] + [(99, 1, 1), (99, 1, 2), (98, 1, 3), (98, 2, 3)]))
+    adj = graph.adjacency(graph.pairs(orders))
+    edges = [tuple(r) for r in adj.collect()]
+    total = {u: sum(w for a, _, w in edges if a == u) for u, _, _ in edges}
+    want = dict.fromkeys(total, 1 / len(total))
+    for _ in range(4):
+        want = {v: 0.15 / len(total) + 0.85 * sum(w / total[u] * want[u] for u, b, w in edges if b == v) for v in total}
+    by_end, parts = graph.by_end, []
+
+    def seen(*args):
+        parts.append(by_end(*args))
+        return parts[-1]
+
+    monkeypatch.setattr(graph, "by_end", seen)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for ranks in (graph.pagerank(adj, 4), graph.pagerank_together(orders, 4)):
+            assert {r["node"]: round(r["rank"], 12) for r in ranks.collect()} == {v: round(x, 12) for v, x in want.items()}
+        for df in parts:
+            assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    from quillgraph import catalog
+
+    monkeypatch.setattr(graph, "pairs", None)
+    assert catalog.QUERIES["pagerank_rounds"](spark, "/root/testdata/sf0.001").count()
